@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgraph.llm import credentials
+from heatgraph.llm import credentials, mixing, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,22 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans}
-ORACLE_SQL: dict[str, str] = {}
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_simhash_dedup": op10_simhash_dedup,
+}
+ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": mixing.mix_sql()}
