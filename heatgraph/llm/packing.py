@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,41 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 _LONG = 1 << 20
 
 
+class _Known(dict):
+    """The encoded runs seen so far, each with the blank before it; others are encoded on demand, and kept while there is room.
+
+    A run of Latin letters is one piece, and marks after it are another, so these are looked up and encoded apart.
+    """
+
+    def __init__(self, encoding: tiktoken.Encoding, kind: str, most: int) -> None:
+        self.encoding, self.code, self.most = encoding, {"<u2": "H", "<u4": "I"}[kind], most
+        self.marks: dict[str, bytes] = {}
+
+    def bare(self, text: str) -> bytes:
+        return array(self.code, self.encoding.encode_ordinary(text)).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        if m := _PLAIN.fullmatch(run):
+            word, mark = m.groups()
+            if mark:
+                if mark not in self.marks:
+                    if len(self.marks) >= 10_000:
+                        self.marks.clear()
+                    self.marks[mark] = self.bare(mark)
+                found = self[word] + self.marks[mark]
+            else:
+                found = array(self.code, self.encoding._encode_single_piece(" " + run)).tobytes()
+        else:
+            found = self.bare(" " + run)
+        if len(self) < self.most and len(run) < 64:
+            self[run] = found
+        return found
+
+
 class ByteTokens:
     """Ids of a byte-level BPE tokenizer file, the same as the tokenizers library gives without special tokens.
 
@@ -40,31 +74,20 @@ class ByteTokens:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model["type"] == "BPE" and not spec.get("normalizer")
         self.kind = "<u2" if max(model["vocab"].values()) < 1 << 16 else "<u4"
-        self.encode = self._pieces(model["vocab"], set(added)) if plain else None
-        self.known: dict[str, bytes] = {}
-        self.remember = remember
+        self.known = _Known(self._pieces(model["vocab"], set(added)), self.kind, remember) if plain else None
 
     @staticmethod
-    def _pieces(vocab: dict[str, int], added: set[str]) -> Callable[[str], list[int]]:
-        import tiktoken
-
+    def _pieces(vocab: dict[str, int], added: set[str]) -> tiktoken.Encoding:
         # printable bytes stand for themselves in the file; the others, in order, for the characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if word not in added}
         # fixed value: the pattern of byte-level pieces
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def _run(self, run: str) -> bytes:
-        if (found := self.known.get(run)) is None:
-            found = np.array(self.encode(" " + run), self.kind).tobytes()
-            if len(self.known) < self.remember and len(run) < 64:
-                self.known[run] = found
-        return found
+        return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.encode is None or self.added and self.added.search(text):
+        if self.known is None or self.added and self.added.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         out, at = [], 0
         while at < len(text):
@@ -76,13 +99,9 @@ class ByteTokens:
             if at:  # begins with the blank it was cut at
                 runs = runs[1:]
             else:
-                out.append(np.array(self.encode(runs[0]), self.kind).tobytes())
+                out.append(self.known.bare(runs[0]))
                 runs = runs[1:]
-            known = self.known
-            try:
-                out.append(b"".join([known[r] for r in runs]))
-            except KeyError:
-                out.append(b"".join(map(self._run, runs)))
+            out.append(b"".join(map(self.known.__getitem__, runs)))
             at = stop
         return np.frombuffer(b"".join(out), self.kind).astype(np.uint32)
 
