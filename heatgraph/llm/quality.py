@@ -88,7 +88,8 @@ class Rules:
 
 
 def rates() -> dict[str, Column]:
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+    # 40 characters at least, so that a full stop doesn't mark a word or two as noise
+    words, chars, lines = (F.greatest(F.col(c), F.lit(n)).cast("double") for c, n in (("n_words", 1), ("word_chars", 40), ("n_lines", 1)))
     return {
         "symbols": F.col("n_symbols") / words,
         "marks": F.col("n_marks") / chars,

@@ -5,7 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgraph.llm import credentials, langid, mixing, packing, quality, simhash, substring, toxicity
+from heatgraph.llm import credentials, langid, media, mixing, packing, quality, simhash, substring, toxicity, weaklabel
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +34,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.weak_label_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,11 +59,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
     "op3_vector_packing": op3_vector_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_flac_media": op5_flac_media,
     "op6_poisson_mixing": op6_poisson_mixing,
+    "op7_weak_labels": op7_weak_labels,
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
