@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from heatgraph.checkpoints import cut
 
-# The strong kinds, as (kind, pattern, measured group, least length of it).
+# The strong kinds, as (kind, pattern, measured group, least length of it). The runs of access and hex have
+# their least length in the pattern: a shorter run holds no match of its own, so the matches are the same, and the words
+# full of a to f don't become matches that are thrown away.
 _WORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 STRONG = (
     ("assign", rf"(?:{_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 0),
+    ("hex", r"[0-9a-f]{24,}", 0, 0),
 )
 # Weak kinds as (kind, pattern, role): reported only together with a part of another role.
 WEAK = (
