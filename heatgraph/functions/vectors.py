@@ -43,5 +43,7 @@ def hash_embed(rows: DataFrame, key: str = "id", text: str = "text", dims: int =
     own = rows.select(F.col(key).alias("key"), F.explode_outer(words(text)).alias("w"))
     # the digest's low bits are its last two hexadecimal digits
     own = own.select("key", (F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dims).alias("bucket"))
-    n = own.groupBy("key").agg(*(F.count(F.when(F.col("bucket") == b, 1)).cast("double").alias(f"b{b}") for b in range(dims)))
-    return n.select(F.col("key").alias(key), F.array(*(f"b{b}" for b in range(dims))).alias("v")).select(key, l2_normalize("v").alias("vector"))
+    n = own.groupBy("key", "bucket").agg(F.count("*").cast("double").alias("n"))
+    m = n.groupBy("key").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "n")), lambda x: x["bucket"].isNotNull())).alias("m"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))
+    return m.select(F.col("key").alias(key), v.alias("v")).select(key, l2_normalize("v").alias("vector"))
