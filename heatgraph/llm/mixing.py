@@ -69,16 +69,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     source with a third of all rows is spread evenly.
     """
     docs = docs.drop("mix_copy", "mix_rate", "mix_order")
-    rates = source_rates(docs, weights, epochs, source).withColumnRenamed("source", "__source")
-    count, most = rates.agg(F.count("*"), F.max("rate")).first()
+    rates = source_rates(docs, weights, epochs, source).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    count, most = rates.agg(F.count("*"), F.max("__rate")).first()
     if most is not None and most > MOST_RATE:
         raise ValueError(f"a source would be repeated {most:.0f} times; the most is {MOST_RATE:.0f}")
     rates = F.broadcast(rates) if count <= BROADCAST_SOURCES else rates
     named = docs.join(rates, F.col(f"`{source}`").eqNullSafe(F.col("__source"))).drop("__source")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit(""))))
-    drawn = named.withColumn("__n", poisson(uniform(seed, "n", key), F.col("rate")))
+    drawn = named.withColumn("__n", poisson(uniform(seed, "n", key), F.col("__rate")))
     copies = drawn.filter("__n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n")
-    copies = copies.withColumn("mix_order", uniform(seed, "at", key, F.col("mix_copy").cast("string"))).withColumnRenamed("rate", "mix_rate")
+    copies = copies.withColumn("mix_order", uniform(seed, "at", key, F.col("mix_copy").cast("string"))).withColumnRenamed("__rate", "mix_rate")
     place = F.xxhash64("mix_order")
     dealt = copies.repartition(partitions, place) if partitions else copies.repartition(place)
     return dealt.sortWithinPartitions("mix_order")
