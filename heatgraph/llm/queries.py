@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heatgraph.llm import credentials, langid, media, mixing, packing, quality, simhash, substring, toxicity, weaklabel
+from heatgraph.llm import credentials, langid, media, mixing, packing, quality, simhash, sql, substring, toxicity, weaklabel
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,8 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op6_poisson_mixing": mixing.mix_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": sql.quality_sql(),
+    "op6_poisson_mixing": mixing.mix_sql(),
+    "op9_substring_dedup": sql.substring_sql(),
+}
