@@ -26,7 +26,7 @@ WEAK = (
 )
 KINDS = [k for k, *_ in STRONG] + [k for k, *_ in WEAK]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for k, _, r in WEAK}
-_SPANS = "array<struct<start:int,end:int,kind:int>>"
+_SPANS = "array<struct<start:int,kind:int,end:int>>"  # sorts by start, then kind
 _BLOCK = 128
 
 
@@ -64,7 +64,7 @@ def _found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
         rows = F.arrays_zip(at.alias("at"), F.slice(x["gap"], F.lit(1), F.size(x["len"])).alias("gap"), x["len"].alias("len"), x["own"].alias("own"))
         return F.transform(
             F.filter(rows, lambda r: r["own"] >= least),
-            lambda r: F.struct((r["at"] + r["gap"]).alias("start"), (r["at"] + r["gap"] + r["len"]).alias("end"), F.lit(KINDS.index(kind)).alias("kind")),
+            lambda r: F.struct((r["at"] + r["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (r["at"] + r["gap"] + r["len"]).alias("end")),
         )
 
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
@@ -94,7 +94,7 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
-    """``docs`` with ``secret_spans``, a sorted array of (start, end, kind number in KINDS).
+    """``docs`` with ``secret_spans``, an array of (start, kind as its number in KINDS, end), sorted.
 
     Strong kinds are found by their patterns alone. Weak kinds (user, phrase, endpoint) are reported only when a part of
     a complementary role lies in the same scope: at most ``reach`` code points away and in the same paragraph, that is
@@ -118,13 +118,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataF
     def room(x: Column) -> Column:
         before = F.regexp_extract(F.substring(t, F.greatest(F.lit(1), x["start"] - reach + 1), F.least(F.lit(reach), x["start"])), r"(?s)(?:^|\n[ \t\r]*\n)((?:(?!\n[ \t\r]*\n).)*)$", 1)
         after = F.regexp_extract(F.substring(t, x["end"] + 1, F.lit(reach)), r"(?s)^((?:(?!\n[ \t\r]*\n).)*)", 1)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), (x["start"] - F.length(before)).alias("lo"), (x["end"] + F.length(after)).alias("hi"))
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), (x["start"] - F.length(before)).alias("lo"), (x["end"] + F.length(after)).alias("hi"))
 
     roles = F.array(*(F.lit(ROLE[k]) for k in KINDS))
     parts = work.filter("__key is not null").select(F.col("__key").alias("key"), F.explode(F.transform(F.concat("__strong", "__weak"), room)).alias("x"))
     # cut, since both sides of the interval join read it: texts are searched once for it
     parts = cut(parts.select("key", "x.*").distinct().withColumn("role", F.get(roles, F.col("kind"))))
-    found = _linked(parts, reach).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__linked"))
+    found = _linked(parts, reach).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__linked"))
     # only rows that may have links take part in the join; the others pass by it
     some = work.filter("__key is not null").join(found.withColumnRenamed("key", "__key"), "__key", "left")
     rest = work.filter("__key is null").withColumn("__linked", F.lit(None).cast(_SPANS))

@@ -72,6 +72,7 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scans": sql.secrets_sql(),
     "op4_quality_rules": sql.quality_sql(),
     "op6_poisson_mixing": mixing.mix_sql(),
     "op9_substring_dedup": sql.substring_sql(),

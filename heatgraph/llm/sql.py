@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from heatgraph.llm.credentials import KINDS, ROLE, STRONG, WEAK
 from heatgraph.llm.quality import Rules
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -50,3 +51,23 @@ FROM q0 a JOIN q1 b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JO
 good AS (SELECT doc_id, bool_and(v <= most) AS good FROM long l JOIN most m ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source AND l.rate = m.rate GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
 (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND good) AS kept FROM c JOIN good USING (doc_id)"""
+
+
+def secrets_sql(reach: int = 200) -> str:
+    kinds, places = [], []
+    for k, (name, pattern, group, least) in enumerate([*STRONG, *((n, p, 0, 0) for n, p, _ in WEAK)]):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        lengths = lambda g: f"list_transform(regexp_extract_all(t, {quoted}, {g}), lambda x: length(x))"  # noqa: B023, E731
+        kinds.append(f"""k{k} AS (SELECT doc_id, {lengths(0)} AS lens, {lengths(group)} AS own, list_transform(string_split_regex(t, {quoted}), lambda x: length(x)) AS gaps FROM d WHERE regexp_matches(t, {quoted}))""")
+        places.append(f"""SELECT doc_id, {k} AS kind, '{ROLE[name]}' AS role, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) AS s, lens[i] AS n FROM (SELECT *, unnest(range(1, len(lens) + 1)) AS i FROM k{k}) WHERE own[i] >= {least}""")
+    blank = "chr(10) || '[ \\t\\r]*' || chr(10)"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = lambda where: f"coalesce(string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER ({where}), '')"
+    count = lambda k: f"count(*) FILTER (kind = {k}) AS n_{KINDS[k]}"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(kinds)},
+parts AS (SELECT doc_id, kind, role, s::BIGINT AS s, (s + n)::BIGINT AS e FROM ({" UNION ALL ".join(places)})),
+room AS (SELECT p.*, s - length(list_last(string_split_regex(substr(t, greatest(1, s - {reach} + 1), least({reach}, s)), {blank}))) AS lo,
+e + length(string_split_regex(substr(t, e + 1, {reach}), {blank})[1]) AS hi FROM parts p JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, kind, s, e FROM parts WHERE kind < {len(STRONG)} UNION ALL SELECT doc_id, kind, s, e FROM room w WHERE kind >= {len(STRONG)}
+AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND (o.role = 'secret') <> (w.role = 'secret') AND o.s >= w.lo AND o.e <= w.hi))
+SELECT d.doc_id, {", ".join(count(k) for k in range(len(STRONG)))}, sha256({text(f"kind < {len(STRONG)}")}) AS base_sha256, {text("kind IS NOT NULL")} AS spans FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id"""
