@@ -424,6 +424,46 @@ def subchunk_windows(spark, d):
     return whole.select("chunk_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
 
+def _as_files(spark: SparkSession, d: str, kind: str, head: str, mark: str) -> DataFrame:
+    """Documents as files of a kind: each line break that a sentence end stands before begins a section."""
+    docs = _t(spark, d, "documents")
+    text = F.concat(F.lit(head), F.regexp_replace("text", r"\.\n", f".\n{mark}"))
+    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), text.alias("text"))
+
+
+@query()
+def chunk_markdown(spark, d):
+    return chunking.chunk_files(_as_files(spark, d, ".md", "# Top\n", "## Part\n"), 400)
+
+
+@query()
+def chunk_code(spark, d):
+    return chunking.chunk_files(_as_files(spark, d, ".py", "import x\n", "def f():\n"), 400)
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS part FROM documents WHERE doc_id < 0")
+def chunk_blank_files(spark, d):
+    """Blank texts have no chunks."""
+    blank = _docs(spark, d).select(F.concat(F.lit("x/"), F.col("id").cast("string")).alias("path"), F.lit(" \n\t ").alias("text"))
+    return chunking.chunk_files(blank).select(F.col("pos").cast("long").alias("id"), F.col("text").alias("part"))
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS path FROM documents WHERE source <> 'src3' AND regexp_matches(source, '^src1') AND (doc_id % 10 <> 7 OR doc_id = 17)")
+def corpus_filters(spark, d):
+    """Include, exclude and ignore patterns over paths; the last ignore pattern that matches decides."""
+    files = _chunks(spark, d).select(F.col("file_path").alias("path"), F.lit(10).cast("long").alias("length"))
+    return corpus.selected(files, ["src1*/**"], ["src3/"], ["# comment", "*7.txt", "!17.txt"]).select("path")
+
+
+@query("SELECT doc_id AS id, replace(text, chr(10), ' / ') AS text, doc_id % 2 = 0 AS binary FROM documents")
+def decoded_texts(spark, d):
+    """Bytes with Windows line ends, every other one with a zero byte, decoded."""
+    raw = F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"), F.when(F.col("id") % 2 == 0, F.lit(b"\0")).otherwise(F.lit(b"")))
+    rows = _docs(spark, d).select("id", F.length("text").alias("n"), raw.alias("content"))
+    clean = F.replace(corpus.decode_text("content"), F.lit("\0"), F.lit(""))
+    return rows.select("id", F.replace(clean, F.lit("\n"), F.lit(" / ")).alias("text"), (corpus.is_binary("content") | ((F.col("id") % 2 == 0) & (F.octet_length("content") > corpus.SNIFFED))).alias("binary"))
+
+
 # maintenance
 
 
@@ -476,6 +516,23 @@ def id_assignment(spark, d):
     return maintenance.assign_ids(_t(spark, d, "documents").select("source", "doc_id"), 1000, ("source", "doc_id")).select("doc_id", "id")
 
 
+@query("SELECT * FROM (VALUES ('chunk_overlap', true), ('chunk_size_tokens', false), ('edge_source', true), ('embedding_model', true), ('subchunk_size_tokens', true)) t(key, ok)")
+def manifest_check(spark, d):
+    """Which settings of an index may differ: one at a time is changed, and the guard asked."""
+    from heatgraph.errors import ManifestError
+
+    old = {k: str(v) for k, v in Config().manifest().items()}
+    rows = []
+    for k in sorted(old):
+        wanted = {**old, "chunk_size_tokens": "400"} if k == "chunk_size_tokens" else old | ({"subchunk_size_tokens": "64"} if k == "subchunk_size_tokens" else {})
+        try:
+            maintenance.check_manifest(old, wanted)
+            rows.append((k, True))
+        except ManifestError:
+            rows.append((k, False))
+    return spark.createDataFrame(rows, "key string, ok boolean")
+
+
 # lookups and reports
 
 
@@ -581,6 +638,17 @@ def eval_baseline(spark, d):
     return found.select("config", "queries", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr")))
 
 
+@query()
+def eval_configs(spark, d):
+    """Three configurations over the passages that some document holds."""
+    from heatgraph.plans.evaluate import run_eval
+
+    labels = _labels(spark, d).filter("relevant is not null").withColumn("relevant", F.transform("relevant", lambda i: i))
+    files = _chunks(spark, d).select(F.col("id").cast("string").alias("i"), "file_path")
+    named = labels.select("query_id", "query", F.explode("relevant").alias("i")).join(files, "i").groupBy("query_id", "query").agg(F.collect_list("file_path").alias("relevant"))
+    return run_eval(_tables(spark, d, True), named, Config(), ("baseline", "graph", "rerank"))
+
+
 # the whole pipeline
 
 
