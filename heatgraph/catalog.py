@@ -367,7 +367,7 @@ def files_top3(spark, d):
     return ranking.file_scores(rows).withColumn("chunk_ids", F.array_join(F.col("chunk_ids").cast("array<string>"), ","))
 
 
-@query(_with(*_BASE, _SCORED, _TOP) + "SELECT query_id, rank, id AS chunk_id, source || '/' || doc_id || '.txt' AS file, round(score, 6) AS score, substr(text, 1, 1200) AS text, length(text) > 1200 AS truncated FROM top8 JOIN documents ON doc_id = id")
+@query(_with(*_BASE, _SCORED, _TOP) + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS rank, id AS chunk_id, source || '/' || doc_id || '.txt' AS file, round(score, 6) AS score, substr(text, 1, 1200) AS text, length(text) > 1200 AS truncated FROM top8 JOIN documents ON doc_id = id")
 def query_json(spark, d):
     """The JSON documents, read again."""
     rows = ranking.top_n(_scored(spark, d), 8).join(_chunks(spark, d).withColumnRenamed("file_path", "file"), "id")
