@@ -18,6 +18,8 @@ UNKNOWN = "und"
 #: Prototypes are kept on the driver and in every task, so their number is limited.
 MOST_LANGUAGES = 2_000
 _TOP = 0x110000
+#: Bytes and rows that are bundled together; with the step of n-grams they bound what a task holds.
+_PIECE = (1 << 19, 512)
 _SCALE = float(1 << 20)
 
 
@@ -133,7 +135,7 @@ def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int =
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", *_PIECE):
                 vectors, _ = bundle(part.column("text").to_pylist(), space)
                 whole = np.rint(_unit(vectors) * _SCALE).astype(np.int64)
                 for lang, v in zip(part.column("lang").to_pylist(), whole, strict=True):
@@ -161,7 +163,7 @@ def predict_language(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 19):
+            for part in slices(batch, "__text", *_PIECE):
                 vectors, has = bundle(part.column("__text").to_pylist(), space)
                 cosines = np.clip(_unit(vectors) @ prototypes.T, 0, 1).astype(np.float64) if langs else np.zeros((len(has), 1))
                 best = cosines.argmax(1)

@@ -63,7 +63,7 @@ class ByteTokens:
     one of the file's added tokens, go through the tokenizers library.
     """
 
-    def __init__(self, path: str, remember: int = 400_000) -> None:
+    def __init__(self, path: str, remember: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

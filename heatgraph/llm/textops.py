@@ -46,12 +46,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(table: pa.Table | pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[pa.Table | pa.RecordBatch]:
-    """Consecutive pieces of about ``most`` bytes of ``text``; a longer text is a piece of its own."""
+def slices(table: pa.Table | pa.RecordBatch, text: str, most: int = 1 << 21, rows: int = 1 << 14) -> Iterator[pa.Table | pa.RecordBatch]:
+    """Consecutive pieces of about ``most`` bytes of ``text`` and at most ``rows`` rows; a longer text is a piece of its own."""
     sizes = np.diff(flat(table.column(text))[1])
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > most:
+        if i > start and (total + n > most or i - start == rows):
             yield table.slice(start, i - start)
             start, total = i, 0
         total += int(n)
