@@ -355,6 +355,22 @@ def test_mixing(spark, docs, odd):
         mixing.mix_sources(rows, {"src1": 1.0}, 1000.0)
 
 
+def test_rare_sources_are_mixed_whole(spark):
+    rows = [(i, "word " * 200, "big") for i in range(100)] + [(1000, "y" * 30, "rare"), (1001, "x" * 2, None)]
+    total = sum(len(t) for _, t, _ in rows)
+    want = {}
+    for i, text, s in rows:
+        rate = total / 3 / sum(len(t) for _, t, o in rows if o == s)
+        k = np.arange(int(rate + 12 * rate**0.5 + 24))
+        logs = k * np.log(rate) - rate - np.concatenate([[0], np.cumsum(np.log(k[1:]))])
+        u = int(hashlib.md5(f"11|n|{i}:{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+        want[i] = int(np.searchsorted(np.cumsum(np.exp(logs)), u, side="right"))
+    found = mixing.mix_sources(spark.createDataFrame(rows, DDL + ", source string")).collect()
+    assert Counter(r["doc_id"] for r in found) == +Counter(want) and want[1000] > 256 and want[1001] > 4096
+    copies = sorted(r["mix_copy"] for r in found if r["doc_id"] == 1001)
+    assert copies == list(range(1, want[1001] + 1))
+
+
 def test_poisson_moments(spark):
     found = spark.range(20_000).select(mixing.poisson(mixing.uniform(1, "t", F.col("id").cast("string")), F.lit(2.5)).alias("k")).agg(F.avg("k"), F.variance("k")).first()
     assert abs(found[0] - 2.5) < 0.05 and abs(found[1] - 2.5) < 0.12
