@@ -80,17 +80,18 @@ def _joined(spans: Column) -> Column:
 def _linked(parts: DataFrame, reach: int) -> DataFrame:
     """Weak parts of ``parts(key, start, end, kind, role, lo, hi)`` with a complementary part in their scope.
 
-    An interval join: parts meet in buckets of ``reach`` code points of one text, and a partner must lie between lo and
-    hi. An identifier or an endpoint needs a secret; a secret needs an identifier or an endpoint. Spans of a kind don't
-    overlap, so a bucket holds at most ``reach`` parts of each kind and no text makes more than a fixed number of
-    partners for one part; the semi join keeps one row for each part.
+    An interval join: parts meet in buckets of ``reach`` code points of one text, and a partner must touch the stretch
+    from lo to hi, however far it goes beyond. An identifier or an endpoint needs a secret; a secret needs an identifier
+    or an endpoint. A partner is in every bucket it touches; spans of a kind don't overlap, so a text has about one row
+    for each part and each bucket, a bucket holds at most ``reach`` parts of each kind and one from before, and no text
+    makes more than a fixed number of partners for one part; the semi join keeps one row for each part.
     """
     weak = parts.filter(F.col("kind") >= len(STRONG))
     weak = weak.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / reach), F.floor(F.col("hi") / reach))))
-    other = parts.select(F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), (F.col("role") == "secret").alias("x2"), F.floor(F.col("start") / reach).alias("b2"))
+    other = parts.select(F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), (F.col("role") == "secret").alias("x2"), F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("b2"))
     near = (F.col("key") == F.col("k2")) & (F.col("bucket") == F.col("b2")) & ((F.col("role") == "secret") != F.col("x2"))
-    inside = (F.col("s2") >= F.col("lo")) & (F.col("e2") <= F.col("hi"))
-    return weak.join(other, near & inside, "left_semi").select("key", "start", "end", "kind").distinct()
+    touches = (F.col("s2") <= F.col("hi")) & (F.col("e2") >= F.col("lo"))
+    return weak.join(other, near & touches, "left_semi").select("key", "start", "end", "kind").distinct()
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:

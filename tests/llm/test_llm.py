@@ -79,6 +79,21 @@ def test_secret_links(spark):
     assert credentials.secret_report(rows.limit(0)).count() == 0
 
 
+def test_secret_links_of_long_parts(spark):
+    long = "Qz." * 100
+    made = [
+        (1, f"user=bob token={long}", "user:0:8,assign:9:315", "[REDACTED] [REDACTED]"),
+        (2, f"pwd={long} login=x", "phrase:0:304,user:305:312", "[REDACTED] [REDACTED]"),
+        (3, f"login=x https://h.io/{long * 4} pwd=y", "endpoint:8:1221,phrase:1222:1227", "login=x [REDACTED] [REDACTED]"),
+        (4, f"login=x\n\ntoken={long}", "assign:9:315", "login=x\n\n[REDACTED]"),
+        (5, "login=x" + " z" * 101 + f" token={long}", "assign:210:516", "login=x" + " z" * 101 + " [REDACTED]"),
+        (6, f"token={long} " + "z " * 90 + "login=x", "assign:0:306,user:487:494", "[REDACTED] " + "z " * 90 + "[REDACTED]"),
+    ]
+    rows = spark.createDataFrame([m[:2] for m in made], DDL)
+    assert {r["doc_id"]: r["spans"] for r in credentials.secret_report(rows).collect()} == {i: x for i, _, x, _ in made}
+    assert dict(pairs(credentials.redact_secrets(rows))) == {i: x for i, _, _, x in made}
+
+
 def test_secret_plan_is_native(docs):
     plan = credentials.secret_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
