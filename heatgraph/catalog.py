@@ -538,8 +538,9 @@ def manifest_check(spark, d):
 
 @query("SELECT doc_id AS id, (1000000 - doc_id)::BIGINT AS ord, length(text)::INT AS size FROM documents WHERE doc_id % 13 = 0")
 def get_chunks_ordered(spark, d):
-    wanted = spark.range(0, 2_000_000, 13).select("id", (1_000_000 - F.col("id")).alias("ord"))
-    return lookups.get_chunks(_chunks(spark, d), wanted).select("id", "ord", F.length("text").alias("size"))
+    chunks = _chunks(spark, d)
+    wanted = chunks.filter("id % 13 = 0").select("id").distinct().select("id", (1_000_000 - F.col("id")).alias("ord"))
+    return lookups.get_chunks(chunks, wanted).select("id", "ord", F.length("text").alias("size"))
 
 
 @query("SELECT source || '/' || doc_id || '.txt' AS path, sha256(text) AS content_hash FROM documents")

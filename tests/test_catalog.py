@@ -30,3 +30,12 @@ def test_query(spark, sf, sql, name):
         assert found == rows([c[0] for c in want.description], want.fetchall())
     else:
         assert found[1]
+
+
+def test_wanted_ids_have_no_cap(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    far = docs.withColumn("doc_id", docs["doc_id"] + 2_000_000)
+    docs.unionByName(far).unionByName(far.limit(50)).write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES["get_chunks_ordered"](spark, str(tmp_path))
+    want = duckdb.sql(catalog.ORACLE_SQL["get_chunks_ordered"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'"))
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
