@@ -117,6 +117,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _chosen(train: DataFrame, per_language: int) -> DataFrame:
+    """``text, lang`` of about ``per_language`` rows of each language at most."""
+    train = train.filter("lang is not null and text is not null").select("text", "lang")
+    share = train.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share"))
+    share = share.limit(MOST_LANGUAGES + 1).toArrow()
+    if len(share) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    share = F.broadcast(train.sparkSession.createDataFrame(share))
+    return train.join(share, F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+
 def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int = 4000) -> tuple[list[str], np.ndarray]:
     """Languages of ``train(text, lang)`` in order, and the normalised sum of their documents' vectors.
 
@@ -124,13 +135,7 @@ def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int =
     about that many is used, chosen by a hash of the text; the bound is on rows for fitting only. Each document counts
     the same, as a vector of whole numbers, so sums don't depend on their order.
     """
-    train = train.filter("lang is not null and text is not null").select("text", "lang")
-    share = train.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share"))
-    share = share.limit(MOST_LANGUAGES + 1).toArrow()
-    if len(share) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    share = F.broadcast(train.sparkSession.createDataFrame(share))
-    chosen = train.join(share, F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = _chosen(train, per_language)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -187,8 +192,33 @@ def language_report(docs: DataFrame, space: Space = Space(), per_language: int =
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space(), least: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and a cosine of at least ``least`` with some language; columns stay."""
+def _letters(text: str) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[^\p{L}]+", "")).cast("double")
+
+
+def fit_spread(train: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space(), per_language: int = 4000) -> DataFrame:
+    """``lang, spread`` of each language: its documents of n letters score about sqrt(n / (n + spread)).
+
+    The spread is the median over the documents of ``train`` that ``fit_prototypes`` learns from, so junk among them
+    hardly moves it. It stands for how many letters of the language are as much alike as not.
+    """
+    n, s = _letters("text"), F.col("lang_score")
+    found = predict_language(_chosen(train, per_language), langs, prototypes, space).filter("lang_score > 0")
+    rows = found.groupBy("lang").agg(F.percentile_approx(n * (1 / (s * s) - 1), 0.5, 10_000).alias("spread")).limit(MOST_LANGUAGES).toArrow()
+    return train.sparkSession.createDataFrame(rows)
+
+
+def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, spread: DataFrame, space: Space = Space(), share: float = 1 / 3) -> DataFrame:
+    """The rows of ``docs`` whose text is like the language it is nearest to; columns stay.
+
+    The cosine must reach ``share`` of what documents of that language and as many letters score (``fit_spread``), and a
+    level that at most 1 in 100 texts without any tie to the languages pass: one of them has cosines of deviation
+    1 / sqrt(dims). Texts without letters are never kept.
+    """
     found = predict_language(docs, langs, prototypes, space)
-    good = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least))
+    chance = float(np.sqrt(2 * np.log(100 * max(1, len(langs))) / space.dims))
+    n = _letters("text")
+    least = F.greatest(F.lit(chance), F.lit(share) * F.sqrt(n / (n + F.greatest(F.col("__spread"), F.lit(0.0)))))
+    table = F.broadcast(spread.select(F.col("lang").alias("__lang"), F.col("spread").alias("__spread")))
+    good = found.filter(F.col("lang_pred") != UNKNOWN).join(table, F.col("lang_pred") == F.col("__lang")).filter(F.col("lang_score") >= least)
     return good.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])

@@ -116,6 +116,27 @@ def test_language(spark, docs, odd):
     assert none == [] and {r["lang_pred"] for r in langid.predict_language(odd, none, empty).collect()} == {"und"}
 
 
+def test_language_stage_rejects_foreign_and_random_texts(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    draw = random.Random(3)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5200)))]
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(2, 9)))
+    planted = [(10_000_000 + 5000 * k + 1000 * j + i, " ".join(word(x) for _ in range(n))) for k, x in enumerate(scripts) for j, n in enumerate((10, 30, 200, 2000)) for i in range(100 if n < 200 else 20)]
+    rows = docs.unionByName(spark.createDataFrame(planted, DDL), allowMissingColumns=True)
+    kept = {i for i, _ in pairs(corpus_pipeline.language(spark, rows, sf))}
+    known = pairs(docs)
+    assert sum(i in kept for i, _ in known) >= 0.985 * len(known)
+    assert sum(i in kept for i, _ in planted) <= 0.01 * len(planted)
+    # short texts score low and still pass
+    short = [(20_000_000 + i, " ".join(t.split()[5:10])) for i, t in known if t and len(t.split()) > 100][:300]
+    rows = docs.unionByName(spark.createDataFrame(short, DDL), allowMissingColumns=True)
+    kept = {i for i, _ in pairs(corpus_pipeline.language(spark, rows, sf))}
+    assert sum(i in kept for i, _ in short) >= 0.95 * len(short)
+    assert corpus_pipeline.language(spark, docs.limit(0), sf).count() == 0
+
+
 def test_hyperdimensional_sums_by_hand():
     space = langid.Space(dims=64)
     a, b, blank = (langid._letter(space, ord(c)).astype(int) for c in "ab ")
