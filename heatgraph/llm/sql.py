@@ -69,5 +69,5 @@ parts AS (SELECT doc_id, kind, role, s::BIGINT AS s, (s + n)::BIGINT AS e FROM (
 room AS (SELECT p.*, s - length(list_last(string_split_regex(substr(t, greatest(1, s - {reach} + 1), least({reach}, s)), {blank}))) AS lo,
 e + length(string_split_regex(substr(t, e + 1, {reach}), {blank})[1]) AS hi FROM parts p JOIN d USING (doc_id)),
 kept AS (SELECT doc_id, kind, s, e FROM parts WHERE kind < {len(STRONG)} UNION ALL SELECT doc_id, kind, s, e FROM room w WHERE kind >= {len(STRONG)}
-AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND (o.role = 'secret') <> (w.role = 'secret') AND o.s >= w.lo AND o.e <= w.hi))
+AND EXISTS (SELECT 1 FROM parts o WHERE o.doc_id = w.doc_id AND (o.role = 'secret') <> (w.role = 'secret') AND o.s <= w.hi AND o.e >= w.lo))
 SELECT d.doc_id, {", ".join(count(k) for k in range(len(STRONG)))}, sha256({text(f"kind < {len(STRONG)}")}) AS base_sha256, {text("kind IS NOT NULL")} AS spans FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id"""
