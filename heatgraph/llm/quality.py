@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from heatgraph.checkpoints import cut
 from heatgraph.llm.textops import IS_SPACE, Words, covered, flat, mix, slices, whole, windows
 
 _SYMBOL = np.zeros(256, bool)
@@ -75,89 +76,101 @@ def with_counts(docs: DataFrame, keep: list[str] | None = None, text: str = "tex
 
 @dataclass(frozen=True)
 class Rules:
-    """A document fails where a rate exceeds its group's upper quartile by ``reach`` quartile distances and ``slack``.
+    """A document fails where a rate lies too far above the upper quartile of its language and source.
 
-    The quartiles come from log-spaced buckets of ratio ``gamma`` (values within 1 % of the truth). Groups with fewer
-    than ``least_rows`` rows use those of their language, and those of all rows if that has too few as well.
+    Rates are compared by their logarithm, in buckets of ratio ``gamma`` (values within 1 % of the truth). The threshold
+    is the group's upper quartile and ``reach`` distances between its quartiles (3: the usual outer fence); where a language or the whole corpus
+    spreads more than the group, theirs is taken, so a group that is mostly copies of one text doesn't fail the rest of
+    its rows. Groups with fewer than ``least_rows`` rows use the quartiles of their language, or of all rows if that has
+    too few as well. No threshold is a constant: every one comes from the sketches.
     """
 
     reach: float = 3.0
     gamma: float = 1.02
     least_rows: int = 200
-    slack: tuple[tuple[str, float], ...] = (("symbols", 0.1), ("marks", 0.1), ("capitals", 0.3), ("dup_lines", 0.5), ("repeats", 0.3), ("stutters", 0.2))
+
+
+#: Rates as (name, count, what it is counted over). One is added to both, so that texts without any have a rate as well, which falls
+#: with their length; that is what makes the quartiles of rare things differ from zero.
+RATES = (
+    ("symbols", "n_symbols", "n_words"),
+    ("marks", "n_marks", "word_chars"),
+    ("capitals", "n_capitals", "word_chars"),
+    ("stutters", "n_stutters", "n_words"),
+    ("long_words", "word_chars", "n_words"),
+    ("short_words", "n_words", "word_chars"),
+)
 
 
 def rates() -> dict[str, Column]:
-    # 40 characters at least, so that a full stop doesn't mark a word or two as noise
-    words, chars, lines = (F.greatest(F.col(c), F.lit(n)).cast("double") for c, n in (("n_words", 1), ("word_chars", 40), ("n_lines", 1)))
-    return {
-        "symbols": F.col("n_symbols") / words,
-        "marks": F.col("n_marks") / chars,
-        "capitals": F.col("n_capitals") / chars,
-        "dup_lines": F.col("n_dup_lines") / lines,
-        "repeats": F.col("n_repeat_words") / words,
-        "stutters": F.col("n_stutters") / words,
-    }
+    """The rates of a row of COUNTS, all above zero."""
+    return {k: (F.col(a) + 1).cast("double") / (F.col(b) + 1).cast("double") for k, a, b in RATES}
+
+
+def _buckets(rules: Rules) -> dict[str, Column]:
+    step = float(np.log(rules.gamma))
+    return {k: F.ceil(F.ln(v) / step) for k, v in rates().items()}
 
 
 def sketch(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``lang, source, rate, bucket, n``: how many rows of a group have a rate in a bucket (null: zero).
+    """``lang, source, rate, bucket, n``: how many rows of a group have a rate in a bucket.
 
-    Adding the counts of two sketches gives the sketch of the union, in any order.
+    Adding the counts of two sketches gives the sketch of the union, in any order. Null languages and sources are groups
+    of their own.
     """
-    names = rates()
-    step = float(np.log(rules.gamma))
-    pairs = F.array(*(F.struct(F.lit(k).alias("rate"), v.alias("value")) for k, v in names.items()))
-    long = counted.select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", "x.rate", F.when(F.col("x.value") > 0, F.ceil(F.ln("x.value") / step)).alias("bucket"))
-    return long.groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("rate"), v.alias("bucket")) for k, v in _buckets(rules).items()))
+    return counted.select("lang", "source", F.explode(pairs).alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """Both quartiles of each group of ``keys`` and rate; a bucket stands for its middle."""
+def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The buckets of both quartiles of each group of ``keys`` and rate, and its rows."""
     merged = counts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "rate")
-    run = merged.withColumn("upto", F.sum("n").over(by.orderBy(F.col("bucket").asc_nulls_first()))).withColumn("rows", F.sum("n").over(by))
-    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(rules.gamma), F.col("bucket") - 0.5))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
+    run = merged.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("rows", F.sum("n").over(by))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
     return run.groupBy(*keys, "rate").agg(F.max("rows").alias("rows"), at(0.25).alias("low"), at(0.75).alias("high"))
 
 
-def thresholds(counted: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``lang, source`` and the highest allowed value of each rate; null languages and sources are groups of their own.
+def thresholds(own: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``lang, source`` and the highest bucket allowed of each rate, from the ``sketch`` rows ``own``.
 
-    The sketch is written once and merged upwards; what it holds is bounded by groups, rates and buckets, not by rows.
+    The sketch is merged upwards; what it holds is bounded by groups, rates and buckets, not by rows.
     """
-    own = sketch(counted, rules)
-    levels = [_quartiles(own, keys, rules) for keys in (["lang", "source"], ["lang"], [])]
-    slack = F.create_map(*[F.lit(x) for k, v in rules.slack for x in (k, v)])
-    enough = lambda n: F.col(f"rows{n}") >= rules.least_rows
+    levels = [_quartiles(own, keys) for keys in (["lang", "source"], ["lang"], [])]
     named = [q.select(*[F.col(k).alias(f"{k}{i}") for k in q.columns]) for i, q in enumerate(levels)]
     both = named[0].join(named[1], F.col("lang0").eqNullSafe(F.col("lang1")) & (F.col("rate0") == F.col("rate1"))).join(named[2], F.col("rate0") == F.col("rate2"))
-    pick = lambda c: F.when(enough(0), F.col(f"{c}0")).when(enough(1), F.col(f"{c}1")).otherwise(F.col(f"{c}2"))
-    most = pick("high") + rules.reach * (pick("high") - pick("low")) + F.try_element_at(slack, "rate0")
-    flat = both.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), F.col("rate0").alias("rate"), most.alias("most"))
-    return flat.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("most"))).alias(f"most_{k}") for k, _ in rules.slack))
+    enough = [F.col(f"rows{n}") >= rules.least_rows for n in range(2)]
+    high = F.when(enough[0], F.col("high0")).when(enough[1], F.col("high1")).otherwise(F.col("high2"))
+    spread = [F.col(f"high{n}") - F.col(f"low{n}") for n in range(3)]
+    wide = F.greatest(F.when(enough[0], spread[0]), F.when(enough[1], spread[1]), spread[2])
+    flat = both.select(F.col("lang0").alias("lang"), F.col("source0").alias("source"), F.col("rate0").alias("rate"), (high + rules.reach * wide).alias("most"))
+    return flat.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("most"))).alias(f"most_{k}") for k, *_ in RATES))
 
 
-def judge(counted: DataFrame, rules: Rules = Rules(), most_groups: int = 1_000_000) -> DataFrame:
+def judge(counted: DataFrame, rules: Rules = Rules(), most_groups: int = 20_000) -> DataFrame:
     """``counted`` with ``base_failed`` and ``kept``: not failed, and no rate above its group's threshold.
 
-    The thresholds are joined on language and source. They are sent to every task after their number has been counted;
-    beyond ``most_groups`` groups they are joined by a shuffle of the small rows, which skew handling splits.
+    The sketch, small rows, is written once; it gives the thresholds and the number of groups. The thresholds are joined
+    on language and source: sent to every task up to ``most_groups`` groups (some 100 bytes each); beyond, joined by a
+    shuffle of the small rows, which skew handling splits.
     """
-    limits = thresholds(counted, rules)
+    own = cut(sketch(counted, rules))
+    limits = thresholds(own, rules)
     limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[c for c in limits.columns if c.startswith("most_")])
-    groups = counted.select("lang", "source").distinct().count()
+    groups = own.select("lang", "source").distinct().count()
     limits = F.broadcast(limits) if groups <= most_groups else limits
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     good = ~failed
-    for k, v in rates().items():
+    for k, v in _buckets(rules).items():
         good = good & (v <= F.col(f"most_{k}"))
-    return joined.withColumns({"base_failed": failed, "kept": good}).drop("__lang", "__source", *[f"most_{k}" for k, _ in rules.slack])
+    return joined.withColumns({"base_failed": failed, "kept": good}).drop("__lang", "__source", *[f"most_{k}" for k, *_ in RATES])
 
 
 def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, lang, source)``; a null text counts as empty, and so fails."""
-    counted = with_counts(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
+    """One row for each row of ``docs(doc_id, text, lang, source)``; a null text counts as empty, and so fails.
+
+    Texts are read once: their counts go to the shared checkpoint folder, and all else works on these small rows.
+    """
+    counted = cut(with_counts(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"]))
     return judge(counted, rules).select("doc_id", *COUNTS[:5], "base_failed", "kept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from heatgraph.llm.credentials import KINDS, ROLE, STRONG, WEAK
-from heatgraph.llm.quality import Rules
+from heatgraph.llm.quality import RATES, Rules
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents)"
@@ -22,33 +22,31 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 
 
 def quality_sql(rules: Rules = Rules(), width: int = 8) -> str:
+    """The rows of ``quality_report``."""
     step = repr(math.log(rules.gamma))
     count = lambda c: f"(length(text) - length(regexp_replace(text, '{c}', '', 'g')))"
-    value = f"CASE WHEN bucket IS NULL THEN 0.0::DOUBLE ELSE pow({rules.gamma}::DOUBLE, bucket - 0.5) END"
 
     def quartiles(n: int, keys: str) -> str:
         by = f"{keys}{', ' if keys else ''}rate"
-        return f"""q{n} AS (SELECT {by}, max(total) AS total, min(CASE WHEN upto >= 0.25 * total THEN {value} END) AS low, min(CASE WHEN upto >= 0.75 * total THEN {value} END) AS high
-FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY {by})"""
+        return f"""q{n} AS (SELECT {by}, max(total) AS total, min(CASE WHEN upto >= 0.25 * total THEN bucket END) AS low, min(CASE WHEN upto >= 0.75 * total THEN bucket END) AS high
+FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY {by})"""
 
-    pick = lambda c: f"CASE WHEN a.total >= {rules.least_rows} THEN a.{c} WHEN b.total >= {rules.least_rows} THEN b.{c} ELSE c.{c} END"
-    slack = "CASE a.rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.slack) + " END"
+    a, b = (f"{x}.total >= {rules.least_rows}" for x in "ab")
+    wide = lambda x: f"({x}.high - {x}.low)"
     return f"""WITH {_WORDS},
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1) USING (doc_id, g), range(0, {width}) t(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
 c AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
-{count("[#*$%&|<>]")}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+{count("[#*$%&|<>]")}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
 {count("[!-/:-@\\[-`{-~]")} AS n_marks, {count("[A-Z]")} AS n_capitals, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutters
 FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-r AS (SELECT *, n_symbols / greatest(n_words, 1)::DOUBLE AS symbols, n_marks / greatest(word_chars, 40)::DOUBLE AS marks, n_capitals / greatest(word_chars, 40)::DOUBLE AS capitals,
-n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_lines, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeats, n_stutters / greatest(n_words, 1)::DOUBLE AS stutters FROM c),
-long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rate, {k} AS v FROM r" for k, _ in rules.slack)}),
-sk AS (SELECT lang, source, rate, CASE WHEN v > 0 THEN ceil(ln(v) / {step})::BIGINT END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+long AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rate, ceil(ln(({x} + 1)::DOUBLE / ({y} + 1)::DOUBLE) / {step})::BIGINT AS bucket FROM c" for k, x, y in RATES)}),
+sk AS (SELECT lang, source, rate, bucket, count(*) AS n FROM long GROUP BY ALL),
 {quartiles(0, "lang, source")}, {quartiles(1, "lang")}, {quartiles(2, "")},
-most AS (SELECT a.lang, a.source, a.rate, {pick("high")} + {rules.reach} * ({pick("high")} - {pick("low")}) + {slack} AS most
+most AS (SELECT a.lang, a.source, a.rate, CASE WHEN {a} THEN a.high WHEN {b} THEN b.high ELSE c.high END + {rules.reach} * greatest(CASE WHEN {a} THEN {wide("a")} END, CASE WHEN {b} THEN {wide("b")} END, {wide("c")}) AS most
 FROM q0 a JOIN q1 b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JOIN q2 c ON a.rate = c.rate),
-good AS (SELECT doc_id, bool_and(v <= most) AS good FROM long l JOIN most m ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source AND l.rate = m.rate GROUP BY doc_id)
+good AS (SELECT doc_id, bool_and(bucket <= most) AS good FROM long l JOIN most m ON l.lang IS NOT DISTINCT FROM m.lang AND l.source IS NOT DISTINCT FROM m.source AND l.rate = m.rate GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
 (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND good) AS kept FROM c JOIN good USING (doc_id)"""
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from heatgraph.llm.quality import COUNTS, rates, with_counts
+from heatgraph.llm.quality import COUNTS, with_counts
 from heatgraph.llm.textops import flat
 
 #: Labellers over rates: more than the value votes for bad, otherwise they don't vote. Each knows one kind of bad text, so
@@ -26,9 +26,17 @@ _SHAPE[48:58] = ord("0")
 _SHAPE[[9, 11, 12, 13]] = 32
 
 
+def shares() -> dict[str, Column]:
+    """The shares that BANDS look at, of a row of COUNTS; 0 for an empty text."""
+    # 40 characters at least, so that a full stop doesn't mark a word or two as noise
+    words, chars, lines = (F.greatest(F.col(c), F.lit(n)).cast("double") for c, n in (("n_words", 1), ("word_chars", 40), ("n_lines", 1)))
+    over = {"symbols": words, "marks": chars, "capitals": chars, "dup_lines": lines, "repeats": words, "stutters": words}
+    return {k: F.col("n_repeat_words" if k == "repeats" else f"n_{k}") / over[k] for k in BANDS}
+
+
 def votes() -> Column:
     """The labellers' votes on a row of COUNTS, in order: 1 good, -1 bad, 0 none."""
-    found = rates()
+    found = shares()
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     banded = [vote(F.lit(False), found[k] > high) for k, high in BANDS.items()]
     length = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))

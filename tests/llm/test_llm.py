@@ -94,6 +94,60 @@ def test_secret_links_of_long_parts(spark):
     assert dict(pairs(credentials.redact_secrets(rows))) == {i: x for i, _, _, x in made}
 
 
+ROLES = {"assign": True, "hex": True, "phrase": True}
+REACH = 200
+
+
+def all_spans(text):
+    """Links by trying all pairs of a text."""
+    text = text or ""
+    found = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base_spans(text).split(",") if x)]
+    weak = [(m.start(), k, m.end()) for k, p, _ in credentials.WEAK for m in re.finditer(p, text, re.ASCII)]
+    stops = [m.span() for m in re.finditer(r"\n(?:[ \t\r]*\n)+", text)]
+    out = list(found)
+    for a, k, b in weak:
+        lo = max([a - REACH, 0, *(e for _, e in stops if e <= a)])
+        hi = min([b + REACH, *(s for s, _ in stops if s >= b)])
+        if any((k2 in ROLES) != (k in ROLES) and a2 <= hi and b2 >= lo for a2, k2, b2 in found + weak):
+            out.append((a, k, b))
+    return sorted(out, key=lambda x: (x[0], credentials.KINDS.index(x[1])))
+
+
+def masked(text):
+    out, at = [], 0
+    for a, _, b in all_spans(text):
+        if a > at or not out:
+            out += [(text or "")[at:a], None]
+        at = max(at, b)
+    return "".join("[REDACTED]" if x is None else x for x in [*out, (text or "")[at:]]) if text else text
+
+
+def test_secret_links_against_all_pairs(spark):
+    draw = random.Random(7)
+    bits = ["login = bob", "user:ann", "pwd = hunter2", "key: 'zz9'", "token=abcdef12", "https://h.io/x?y=1", "host: db.local:5432", "me.33@mail.example.com", "10.0.0.12:80", "AKIA" + "Q" * 16, "deadbeef" * 4,
+            "é", "漢字 ", "words of prose, ", "x" * 90 + " ", "z " * 45, "w " * 99, "\n", "\n\n", "\n \t\n", "\r\n", " ", " "]
+    made = [(i, "".join(draw.choice(bits) + draw.choice(["", " ", "\n"]) for _ in range(draw.randrange(40)))) for i in range(500)]
+    # parts at each side of the reach, copies, and one text with thousands of parts
+    made += [(1000 + n, "login = bob" + "é" * n + " pwd = hunter2") for n in range(195, 204)] + [(2000 + n, made[n % 7][1]) for n in range(60)]
+    made += [(3000, "".join(draw.choice(bits) + " " for _ in range(20_000))), (3001, "token=abcdef1 " * 20_000), (3002, "a@" * 9000), (None, None), (3003, "")]
+    rows = spark.createDataFrame(made, DDL)
+    found = credentials.secret_report(rows).collect()
+    name = lambda x: ",".join(f"{k}:{a}:{b}" for a, k, b in x)
+    assert Counter((r["doc_id"], r["spans"]) for r in found) == Counter((i, name(all_spans(t))) for i, t in made)
+    linked = sum(r["spans"].count(k) for r in found for k in ("user", "phrase", "endpoint", "email", "address"))
+    assert linked > 1000
+    clean = credentials.redact_secrets(clashing(rows))
+    assert clean.columns == clashing(rows).columns and {r["secret_spans"] for r in clean.select("secret_spans").collect()} == {"own"}
+    assert Counter(pairs(clean)) == Counter((i, masked(t)) for i, t in made)
+
+
+def test_secrets_of_the_tables_are_linked(spark, sf):
+    rows = spark.read.parquet(sf.replace("0.001", "0.1") + "/documents.parquet").filter(F.col("text").contains("="))
+    spans = [r["spans"] for r in credentials.secret_report(rows).collect()]
+    assert sum("email" in x for x in spans) > 5 and sum("address" in x for x in spans) > 0
+    assert spans and all("email" not in x or "assign" in x or "hex" in x for x in spans)
+
+
 def test_secret_plan_is_native(docs):
     plan = credentials.secret_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -231,13 +285,57 @@ def test_quality_keeps_clean_documents(spark, sf):
 
 
 def test_sketches_merge(docs):
-    counted = quality.with_counts(docs, ["doc_id", "lang", "source"])
+    counted = quality.with_counts(clashing(docs), ["doc_id", "lang", "source"])
     whole = ordered(quality.sketch(counted).collect())
     halves = quality.sketch(counted.filter("doc_id % 2 = 0")).unionByName(quality.sketch(counted.filter("doc_id % 2 = 1")))
     merged = halves.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
     assert ordered(merged.collect()) == whole
 
 
+def made_groups():
+    """Three sources whose texts have few, some and many punctuation marks, and one that is mostly copies."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(3, 9)))
+    text = lambda share: " ".join(word() + ("," if draw.random() < share * draw.uniform(0.7, 1.3) else "") for _ in range(draw.randrange(80, 200)))
+    out = [(text(share), source) for source, share in (("few", 0.05), ("some", 0.2), ("many", 0.9)) for _ in range(400)]
+    copy = text(0.2)
+    return out + [(copy, "copies")] * 700 + [(text(0.2), "copies") for _ in range(300)]
+
+
+def test_quality_thresholds_follow_the_groups(spark):
+    made = made_groups()
+    odd = ", ".join(re.sub(",", "", made[0][0]).split()) + ","
+    rows = [(i, t, "x", s) for i, (t, s) in enumerate(made)] + [(10_000 + k, odd, "x", s) for k, s in enumerate(("few", "some", "many"))]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, DDL + ", lang string, source string")).collect()}
+    # one text, three verdicts: what is odd in one source is usual in another
+    assert [found[10_000 + k] for k in range(3)] == [False, False, True]
+    assert sum(not found[i] for i in range(len(made))) <= 3
+    # without the sketch of its group its verdict there is another one
+    mixed = [(i, t, "x", None) for i, t, _, _ in rows]
+    alone = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(mixed, DDL + ", lang string, source string")).collect()}
+    assert [alone[10_000 + k] for k in range(3)] == [False] * 3
+
+
+def test_quality_thresholds_by_hand(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    rules = quality.Rules()
+    rows = quality.with_counts(docs, ["lang", "source"]).collect()
+    values = {k: defaultdict(list) for k, *_ in quality.RATES}
+    for r in rows:
+        for k, a, b in quality.RATES:
+            v = int(np.ceil(np.log((r[a] + 1) / (r[b] + 1)) / np.log(rules.gamma)))
+            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+                values[k][key].append(v)
+    quartile = lambda x, q: sorted(x)[int(np.ceil(q * len(x))) - 1]
+    counted = quality.with_counts(docs, ["lang", "source"])
+    for r in quality.thresholds(quality.sketch(counted)).collect():
+        for k, *_ in quality.RATES:
+            levels = [values[k][key] for key in ((r["lang"], r["source"]), (r["lang"],), ())]
+            enough = [x for x in levels[:2] if len(x) >= rules.least_rows] + levels[2:]
+            spread = max(quartile(x, 0.75) - quartile(x, 0.25) for x in enough)
+            assert r[f"most_{k}"] == quartile(enough[0], 0.75) + rules.reach * spread
+
+
 # media
 
 
