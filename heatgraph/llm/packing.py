@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from heatgraph.checkpoints import cut
+
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
@@ -47,7 +50,7 @@ class _Known(dict):
                     self.marks[mark] = self.bare(mark)
                 found = self[word] + self.marks[mark]
             else:
-                found = array(self.code, self.encoding._encode_single_piece(" " + run)).tobytes()
+                found = self.bare(" " + run)
         else:
             found = self.bare(" " + run)
         if len(self) < self.most and len(run) < 64:
@@ -108,6 +111,7 @@ class ByteTokens:
 
 @lru_cache(maxsize=2)
 def tokens_of(path: str) -> ByteTokens:
+    """The tokenizer of a file, read once a worker."""
     return ByteTokens(path)
 
 
@@ -133,6 +137,9 @@ class Packer:
     An example goes where it fits and the dot product of its demands with the room left, both as shares of the limits, is
     highest; ties go to the oldest. If it fits nowhere and ``cut`` is set, the part that fills the fullest sequence is
     cut off first; otherwise that sequence is closed and a new one opened.
+
+    With ``cut``, a sequence that is closed before it is full, by the limit on segments or loss, gives away its longest
+    prefix with a power of two of tokens and stays open with the rest, so no sequence needs padding.
     """
 
     limits: Limits
@@ -146,14 +153,37 @@ class Packer:
         self.room = np.zeros((0, 3))
 
     def _close(self, i: int) -> None:
-        self.done.append(self.open.pop(i))
-        self.room = np.delete(self.room, i, 0)
+        seq, rest = self.open[i], []
+        if self.cut:
+            rest = self._shed(seq)
+        else:
+            self.done.append(seq)
+        if rest:
+            self.open[i] = rest
+            self.room[i] = self.most - (sum(p.length for p in rest), len(rest), sum(p.loss for p in rest))
+        else:
+            self.open.pop(i)
+            self.room = np.delete(self.room, i, 0)
+
+    def _shed(self, seq: list[Piece]) -> list[Piece]:
+        """Closes the longest prefix of a power of two tokens, and returns what is left of the sequence."""
+        left, head = 1 << sum(p.length for p in seq).bit_length() - 1, []
+        for i, p in enumerate(seq):
+            if p.length > left:
+                first, rest = self._split(p, left)
+                self.done.append([*head, first] if left else head)
+                return [rest, *seq[i + 1 :]]
+            head.append(p)
+            left -= p.length
+        self.done.append(head)
+        return []
 
     def _put(self, i: int, p: Piece) -> None:
         self.open[i].append(p)
         self.room[i] -= (p.length, 1, p.loss)
         if self.room[i, 0] == 0:
-            self._close(i)
+            self.done.append(self.open.pop(i))
+            self.room = np.delete(self.room, i, 0)
 
     def _split(self, p: Piece, n: int) -> tuple[Piece, Piece]:
         """Loss-bearing tokens are the last ones of an example."""
@@ -196,35 +226,28 @@ class Packer:
 
     def finish(self) -> None:
         """Closes all sequences. With ``cut``, what is left is dealt out anew: full sequences, then powers of two."""
-        rest = [p for s in self.open for p in s]
+        rest = deque(p for s in self.open for p in s)
         if not self.cut:
             self.done += self.open
-        else:
-            left, seq, used = sum(p.length for p in rest), [], 0
-            want = self._next(left)
-            for p in rest:
-                while p.length:
-                    head, p = self._split(p, min(p.length, want - used))
-                    loss = sum(x.loss for x in seq) + head.loss
-                    if seq and (len(seq) == self.limits.segments or loss > self.limits.loss):
-                        self.done.append(seq)
-                        left, seq, used = left - used, [], 0
-                        want = self._next(left)
-                        p = Piece(p.key, head.start, head.length + p.length, head.loss + p.loss)
-                        continue
-                    seq.append(head)
-                    used += head.length
-                    if used == want:
-                        self.done.append(seq)
-                        left, seq, used = left - used, [], 0
-                        want = self._next(left)
-            if seq:
+            rest.clear()
+        seq: list[Piece] = []
+        while rest:
+            p, room = rest.popleft(), self.limits.tokens - sum(x.length for x in seq)
+            head, p = self._split(p, min(p.length, room))
+            if p.length:
+                rest.appendleft(p)
+            if seq and (len(seq) == self.limits.segments or sum(x.loss for x in seq) + head.loss > self.limits.loss):
+                rest.appendleft(head)
+                seq = self._shed(seq)
+                continue
+            seq.append(head)
+            if head.length == room:
                 self.done.append(seq)
+                seq = []
+        while seq:
+            seq = self._shed(seq)
         self.open, self.room = [], np.zeros((0, 3))
 
-    def _next(self, left: int) -> int:
-        return self.limits.tokens if left >= self.limits.tokens else 1 << max(0, left.bit_length() - 1)
-
     def take(self) -> list[list[Piece]]:
         out, self.done = self.done, []
         return out
@@ -238,8 +261,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
 
     A document is its ids and ``end_id``; all of them bear loss. Every id lies in one piece, pieces of a sequence follow
     each other from 0, and a sequence has at most ``limits``. Null and empty texts are documents of one id; repeated rows
-    are packed as often as they occur. Only a few sequences of each partition are shorter than the limit, and these have
-    a power of two of tokens, so nothing needs padding.
+    are packed as often as they occur. Sequences shorter than the limit, the last of a partition and those that very
+    short documents fill by their number, have a power of two of tokens, so nothing needs padding.
 
     Each partition is packed on its own, in one pass, as its batches arrive: no shuffle, at most ``width`` open
     sequences, and a partition that is lost is packed again with the same result. ``sequence_id`` has the partition in
@@ -328,3 +351,32 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str = "example_id",
     to_arrow = to_arrow_type(kind)
     work = examples.select(F.col(f"`{key}`").alias("key"), F.col(f"`{tokens}`").cast("long").alias("tokens"), F.col(f"`{loss}`").cast("long").alias("loss"))
     return work.mapInArrow(run, StructType([StructField(key, kind), StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+
+
+def count_turns(turns: DataFrame, tokenizer: str, key: str = "conv_id", role: str = "role", text: str = "text", answer: str = "assistant") -> DataFrame:
+    """``key, tokens, loss_tokens`` of each conversation: the ids of all its turns, each with an end id, and of those by ``answer``.
+
+    Turns are counted where they are, and only (key, tokens, loss) is shuffled, after sums in each task; so a
+    conversation may have any number of turns. Null texts are empty turns; turns with a null key are one conversation.
+    """
+    work = turns.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{role}`") == answer, F.lit(False)).alias("own"), F.col(f"`{text}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens_of(tokenizer)
+        for batch in batches:
+            n = [len(encoder.ids(t.as_py() or "")) + 1 for t in batch.column("__text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("own"), pa.array(n, pa.int64())], names=["key", "own", "n"])
+
+    counted = work.mapInArrow(run, StructType([work.schema["key"], work.schema["own"], StructField("n", LongType())]))
+    return counted.groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, limits: Limits = Limits(2048, 32, 512), key: str = "conv_id") -> DataFrame:
+    """``conv_id, tokens, loss_tokens, sequence_id, offset``: whole conversations in sequences within all three limits.
+
+    The answers bear loss. A conversation beyond the limits has a null sequence and offset.
+    """
+    counted = cut(count_turns(turns, tokenizer, key))
+    named = counted.withColumn("example", F.struct(F.col(f"`{key}`").alias("id"), "tokens", "loss_tokens"))
+    placed = pack_examples(named, limits, "example")
+    return placed.select(F.col("example.id").alias(key), "example.tokens", "example.loss_tokens", "sequence_id", "offset")
