@@ -87,10 +87,28 @@ def read_media(stored: DataFrame, media: str = "media", keep: list[str] | None =
 
 
 def seek(stored: DataFrame, sample: int, media: str = "media") -> DataFrame:
-    """The one PCM block of each stream that holds ``sample``; streams that end before it give no row."""
-    blocks = read_media(stored, media).withColumn("b", F.explode("blocks")).drop("blocks")
-    inside = (F.col("b.sample_offset") <= sample) & (F.col("b.sample_offset") + F.octet_length("b.pcm") > sample)
-    return blocks.filter(inside).select("*", "b.*").drop("b")
+    """The PCM block of each stream that holds ``sample``, as ``sample_offset``, ``byte_offset`` and ``pcm``.
+
+    The stream's seek table says where the block begins and ends; only its frames are decoded and checked. The other
+    columns of ``stored`` stay (those of these names are replaced). Null streams, and streams that end before the sample,
+    give no row.
+    """
+    if sample < 0:
+        raise ValueError("a sample's number is at least 0")
+    names = ["sample_offset", "byte_offset", "pcm"]
+    keep = [c for c in stored.columns if c not in (media, *names)]
+    work = stored.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`").alias("__media"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = (s.as_py() for s in batch.column("__media"))
+            found = [None if s is None else flac.decode_at(s, sample) for s in streams]
+            on = [i for i, x in enumerate(found) if x is not None]
+            columns = [pa.array([found[i]["offset"] for i in on], pa.int64()), pa.array([found[i]["at"] for i in on], pa.int64()), pa.array([_pcm(found[i]) for i in on], pa.binary())]
+            part = batch.take(pa.array(on, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *columns], names=[*keep, *names])
+
+    return work.mapInArrow(run, _schema(work, keep, "sample_offset long, byte_offset long, pcm binary"))
 
 
 def _feature(pcm: np.ndarray) -> str:
