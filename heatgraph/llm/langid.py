@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from heatgraph.llm.names import free, quoted
+from heatgraph.llm.sampling import sample_texts
 from heatgraph.llm.textops import slices
 
 UNKNOWN = "und"
-#: Prototypes are kept on the driver and in every task, so their number is limited.
-MOST_LANGUAGES = 2_000
+#: Prototypes that documents are compared with at a time.
+_LANGUAGES = 2_000
 _TOP = 0x110000
 #: Bytes and rows that are bundled together; with the step of n-grams they bound what a task holds.
 _PIECE = (1 << 19, 512)
@@ -97,19 +99,45 @@ def _bound(rows: np.ndarray, space: Space) -> np.ndarray:
     return out
 
 
-def bundle(texts: list[str | None], space: Space) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of all n-gram vectors of each text, and whether it has a letter."""
+def bundle(texts: list[str | None], space: Space, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of all n-gram vectors of each text, and whether it has a letter.
+
+    A text of more than ``most`` characters is bundled in parts, which share the letters that n-grams across their border
+    need, so what is held doesn't grow with its length.
+    """
+    if len(texts) == 1 and len(texts[0] or "") > most:
+        return _bundle_long(texts[0], space, most)
     codes, of = _symbols([t or "" for t in texts])
     has = np.bincount(of[codes != 32], minlength=len(texts)) > 0
+    return _sums(codes, of, len(texts), space), has
+
+
+def _sums(codes: np.ndarray, of: np.ndarray, n: int, space: Space) -> np.ndarray:
     rows, which, of = _grams(codes, of, space.order)
-    out = np.zeros((len(texts), space.dims), np.float32)
+    out = np.zeros((n, space.dims), np.float32)
     step = 1 << 12  # so many n-grams' vectors at a time
     for a in range(0, len(rows), step):
         width = min(step, len(rows) - a)
         on = (which >= a) & (which < a + width) if len(rows) > step else slice(None)
-        times = np.bincount(of[on] * width + which[on] - a, minlength=len(texts) * width)
-        out += times.reshape(len(texts), width).astype(np.float32) @ _bound(rows[a : a + width], space).astype(np.float32)
-    return out, has
+        times = np.bincount(of[on] * width + which[on] - a, minlength=n * width)
+        out += times.reshape(n, width).astype(np.float32) @ _bound(rows[a : a + width], space).astype(np.float32)
+    return out
+
+
+def _bundle_long(text: str, space: Space, most: int) -> tuple[np.ndarray, np.ndarray]:
+    total, has, tail = np.zeros((1, space.dims), np.float64), False, np.full(1, 32, np.uint32)
+    for a in range(0, len(text), most):
+        part = text[a : a + most].lower()
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_is_letter()[codes], codes, 32).astype(np.uint32)
+        has = has or bool((codes != 32).any())
+        if a + most >= len(text):
+            codes = np.append(codes, np.uint32(32))
+        codes = np.concatenate([tail, codes])
+        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+        total += _sums(codes, np.zeros(len(codes), np.int64), 1, space)
+        tail = codes[max(0, len(codes) - space.order + 1) :]
+    return total.astype(np.float32), np.array([has])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -118,22 +146,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _chosen(train: DataFrame, per_language: int) -> DataFrame:
-    """``text, lang`` of about ``per_language`` rows of each language at most."""
-    train = train.filter("lang is not null and text is not null").select("text", "lang")
-    share = train.groupBy("lang").count().select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("share"))
-    share = share.limit(MOST_LANGUAGES + 1).toArrow()
-    if len(share) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    share = F.broadcast(train.sparkSession.createDataFrame(share))
-    return train.join(share, F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    """``text, lang`` of about ``per_language`` distinct texts of each language at most."""
+    known = train.filter("lang is not null and text is not null").select("text", "lang")
+    return sample_texts(known, per_language, ["lang"]).select("text", "lang")
 
 
 def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int = 4000) -> tuple[list[str], np.ndarray]:
     """Languages of ``train(text, lang)`` in order, and the normalised sum of their documents' vectors.
 
-    Rows with a null language or text are left out. Of a language with more than ``per_language`` rows an even share of
-    about that many is used, chosen by a hash of the text; the bound is on rows for fitting only. Each document counts
-    the same, as a vector of whole numbers, so sums don't depend on their order.
+    Rows with a null language or text are left out, and copies count once. Of a language with more than ``per_language``
+    distinct texts about that many are used, chosen by a hash of the text; the bound is on rows for fitting only. Each
+    text counts the same, as a vector of whole numbers, so sums don't depend on their order. A language takes ``dims``
+    numbers on the driver and in a task (4 KB), and there may be any number of them.
     """
     chosen = _chosen(train, per_language)
 
@@ -156,32 +180,44 @@ def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int =
     return langs, _unit(table).astype(np.float32)
 
 
-def predict_language(docs: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def nearest(vectors: np.ndarray, prototypes: np.ndarray, block: int = _LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
+    """The prototype with the highest cosine (cut to 0..1) for each vector, and that cosine; the first one of equals."""
+    best, score = np.zeros(len(vectors), np.int64), np.full(len(vectors), -1.0)
+    for a in range(0, len(prototypes), block):
+        cosines = np.clip(vectors @ prototypes[a : a + block].T, 0, 1).astype(np.float64)
+        i = cosines.argmax(1)
+        value = cosines[np.arange(len(i)), i]
+        higher = value > score
+        best[higher], score[higher] = a + i[higher], value[higher]
+    return best, np.maximum(score, 0.0)
+
+
+def predict_language(docs: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space(), text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``lang_pred`` and ``lang_score``, the best cosine cut to 0..1.
 
     Ties go to the first language in order. A null or empty text, or one without a letter, is ``und`` with score 0; so is
     everything if there are no languages. Long texts are read whole. Columns of these names are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
-    schema = StructType([docs.schema[c] for c in keep] + [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     work = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", *_PIECE):
                 vectors, has = bundle(part.column("__text").to_pylist(), space)
-                cosines = np.clip(_unit(vectors) @ prototypes.T, 0, 1).astype(np.float64) if langs else np.zeros((len(has), 1))
-                best = cosines.argmax(1)
+                best, scores = nearest(_unit(vectors), prototypes)
                 on = has & bool(langs)
-                names = [langs[b] if h else UNKNOWN for b, h in zip(best, on, strict=True)]
-                scores = np.where(on, cosines[np.arange(len(best)), best], 0.0)
+                found = [langs[b] if h else UNKNOWN for b, h in zip(best, on, strict=True)]
+                scores = np.where(on, scores, 0.0)
                 columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores)], names=[*keep, *names])
 
     return work.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept out of learning: a fifth, by the CRC-32 of its id as text; null ids never are."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -204,21 +240,23 @@ def fit_spread(train: DataFrame, langs: list[str], prototypes: np.ndarray, space
     """
     n, s = _letters("text"), F.col("lang_score")
     found = predict_language(_chosen(train, per_language), langs, prototypes, space).filter("lang_score > 0")
-    rows = found.groupBy("lang").agg(F.percentile_approx(n * (1 / (s * s) - 1), 0.5, 10_000).alias("spread")).limit(MOST_LANGUAGES).toArrow()
+    rows = found.groupBy("lang").agg(F.percentile_approx(n * (1 / (s * s) - 1), 0.5, 10_000).alias("spread")).toArrow()
     return train.sparkSession.createDataFrame(rows)
 
 
 def keep_known(docs: DataFrame, langs: list[str], prototypes: np.ndarray, spread: DataFrame, space: Space = Space(), share: float = 1 / 3) -> DataFrame:
-    """The rows of ``docs`` whose text is like the language it is nearest to; columns stay.
+    """The rows of ``docs`` whose text is like the language it is nearest to; all columns stay, whatever their names.
 
     The cosine must reach ``share`` of what documents of that language and as many letters score (``fit_spread``), and a
     level that at most 1 in 100 texts without any tie to the languages pass: one of them has cosines of deviation
     1 / sqrt(dims). Texts without letters are never kept.
     """
-    found = predict_language(docs, langs, prototypes, space)
+    name, value = (free(docs.columns, c) for c in ("__language", "__cosine"))
+    found = predict_language(docs, langs, prototypes, space, names=(name, value))
     chance = float(np.sqrt(2 * np.log(100 * max(1, len(langs))) / space.dims))
     n = _letters("text")
-    least = F.greatest(F.lit(chance), F.lit(share) * F.sqrt(n / (n + F.greatest(F.col("__spread"), F.lit(0.0)))))
-    table = F.broadcast(spread.select(F.col("lang").alias("__lang"), F.col("spread").alias("__spread")))
-    good = found.filter(F.col("lang_pred") != UNKNOWN).join(table, F.col("lang_pred") == F.col("__lang")).filter(F.col("lang_score") >= least)
-    return good.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])
+    known, wide = (free(docs.columns, c) for c in ("__known", "__spread"))
+    least = F.greatest(F.lit(chance), F.lit(share) * F.sqrt(n / (n + F.greatest(F.col(wide), F.lit(0.0)))))
+    table = F.broadcast(spread.select(F.col("lang").alias(known), F.col("spread").alias(wide)))
+    good = found.filter(F.col(name) != UNKNOWN).join(table, F.col(name) == F.col(known)).filter(F.col(value) >= least)
+    return good.select(*[F.col(quoted(c)) for c in docs.columns])

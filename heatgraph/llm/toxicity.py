@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,40 +14,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heatgraph.llm.langid import held_out
-from heatgraph.llm.textops import flat
+from heatgraph.llm.sampling import sample_texts
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: ASCII other than letters and digits separates; bytes from 128 on are letters of other scripts.
-_LOWER[[c for c in range(128) if not chr(c).isalnum()]] = 32
+_TOP = 0x110000
+
+
+@cache
+def _inside() -> np.ndarray:
+    """Whether each code point belongs to words: letters, digits and the marks set on letters."""
+    return np.fromiter((chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in range(_TOP)), bool, _TOP)
 
 
 @dataclass(frozen=True)
 class Grams:
-    """Character n-grams of ``least`` to ``most`` bytes, hashed to 2**bits features."""
+    """Character n-grams of ``least`` to ``most`` code points, hashed to 2**bits features."""
 
     least: int = 4
     most: int = 6
     bits: int = 18
 
 
-def present(raw: np.ndarray, grams: Grams, scratch: np.ndarray) -> np.ndarray:
-    """The distinct features of one text, without order. ``scratch`` has a place for each feature."""
-    x = np.concatenate([[32], _LOWER[raw], [32]]).astype(np.uint64)
-    if len(x) > 2:  # one separator for each run
-        x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
-    value = x[: max(0, len(x) - grams.least + 1)].copy()
-    for k in range(1, grams.least):
-        value = value[: len(x) - grams.least + 1] | x[k : k + len(value)] << np.uint64(8 * k)
-    found = []
-    for n in range(grams.least, grams.most + 1):
-        if n > grams.least:
-            m = len(x) - n + 1
-            if m <= 0:
-                break
-            value = value[:m] | x[n - 1 :] << np.uint64(8 * (n - 1))
-        if len(value):
-            found.append(((value + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - grams.bits)).astype(np.int32))
+def characters(text: str) -> np.ndarray:
+    """The lower-cased code points of a text, with one blank (32) for each run of others and at both ends."""
+    x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = np.where(_inside()[x], x, np.uint32(32))
+    return x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
+
+
+def present(text: str, grams: Grams, scratch: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """The distinct features of one text, without order. ``scratch`` has a place for each feature.
+
+    A text of more than ``most`` characters is taken in parts that overlap by a gram, so what is held doesn't grow with it.
+    """
+    if len(text) > most:
+        parts = [present(text[max(0, a - grams.most) : a + most], grams, scratch, 2 * most) for a in range(0, len(text), most)]
+        return np.unique(np.concatenate(parts)).astype(np.int32)
+    x = characters(text).astype(np.uint64)
+    step, found = np.uint64(0x9E3779B97F4A7C15), []
+    value = x.copy()
+    for n in range(2, grams.most + 1):
+        m = len(x) - n + 1
+        if m <= 0:
+            break
+        value = value[:m] * step + x[n - 1 :]
+        if n >= grams.least:
+            h = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+            found.append(((h * step) >> np.uint64(64 - grams.bits)).astype(np.int32))
     if not found:
         return np.zeros(0, np.int32)
     every = np.concatenate(found)
@@ -54,10 +68,8 @@ def present(raw: np.ndarray, grams: Grams, scratch: np.ndarray) -> np.ndarray:
     return every[scratch[every] == at]
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    raw, offsets = flat(batch.column(name))
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield raw[a:b]
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
+    return (t.as_py() or "" for t in batch.column(name))
 
 
 @dataclass(frozen=True)
@@ -67,22 +79,18 @@ class ToxicModel:
     bias: float
 
 
-def fit(train: DataFrame, grams: Grams = Grams(), most_rows: int = 40_000, features: int = 2_000, smooth: float = 1.0) -> ToxicModel:
-    """Learns from ``train(text, toxic)``; rows with a null text or label are left out.
+def count_grams(rows: DataFrame, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Of all ``rows(text, toxic)``: how many have each feature, by label, and how many there are, by label.
 
-    Log-count ratios are counted over all rows. The ``features`` ones with the most evidence (a signed log-likelihood
-    statistic) go on; logistic weights of the ratio-scaled features are fitted on an even share of about ``most_rows``
-    rows, the only bound, chosen by a hash of the text. Without rows of both labels the score is the share of label 1 (a
-    half if there are none).
+    What comes to the driver is one row for each feature, at most 2**bits of them.
     """
-    rows = train.filter("text is not null and toxic is not null").select(F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"))
     size = 1 << grams.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, scratch, n = np.zeros((2, size), np.int64), np.zeros(size, np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            for y, raw in zip(batch.column("toxic").to_pylist(), _texts(batch, "text"), strict=True):
-                total[int(y > 0), present(raw, grams, scratch)] += 1
+            for y, text in zip(batch.column("toxic").to_pylist(), _texts(batch, "text"), strict=True):
+                total[int(y > 0), present(text, grams, scratch)] += 1
                 n[int(y > 0)] += 1
         on = np.flatnonzero(total.any(0))
         feature, no, yes = np.append(on, -1), np.append(total[0, on], n[0]), np.append(total[1, on], n[1])
@@ -90,75 +98,102 @@ def fit(train: DataFrame, grams: Grams = Grams(), most_rows: int = 40_000, featu
 
     counted = rows.mapInArrow(count, "feature long, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).toArrow()
     f = counted.column("feature").to_numpy()
-    count_of = np.zeros((2, size + 1), np.int64)
-    count_of[0, f], count_of[1, f] = counted.column("no").to_numpy(), counted.column("yes").to_numpy()
-    n, count_of = count_of[:, -1], count_of[:, :-1]
-    weights = np.zeros(size, np.float32)
+    found = np.zeros((2, size + 1), np.int64)
+    found[0, f], found[1, f] = counted.column("no").to_numpy(), counted.column("yes").to_numpy()
+    return found[:, :-1], found[:, -1]
+
+
+def log_ratios(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Naive Bayes log-count ratios of features: log of (toxic count + smooth) over the others', each as a share of its sum."""
+    p, q = counts[1] + smooth, counts[0] + smooth
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
+def fit(train: DataFrame, grams: Grams = Grams(), most_rows: int = 8_000, most_features: int = 40_000_000, smooth: float = 1.0) -> ToxicModel:
+    """Learns from ``train(text, toxic)``; rows with a null text or label are left out.
+
+    Log-count ratios are counted over all rows. Logistic weights of all ratio-scaled features are fitted on distinct
+    texts, each with the weight of its number of rows: on all of them, or on at most ``most_rows`` with about
+    ``most_features`` features, those with the lowest hash. These are the only bounds, and they are on what is gathered for
+    fitting. Without rows of both labels the score is the share of label 1 (a half if there are none).
+    """
+    rows = train.filter("text is not null and toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    size = 1 << grams.bits
+    counts, n = count_grams(rows, grams)
     if not n.all():
         share = 0.5 if not n.any() else float(n[1] / n.sum())
-        return ToxicModel(grams, weights, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    p, q = count_of[1] + smooth, count_of[0] + smooth
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    a, b = (count_of[1] + 0.5) / (n[1] + 1), (count_of[0] + 0.5) / (n[0] + 1)
-    both = (count_of.sum(0) + 1) / (n.sum() + 2)
-    evidence = n[1] * (a * np.log(a / both) + (1 - a) * np.log((1 - a) / (1 - both))) + n[0] * (b * np.log(b / both) + (1 - b) * np.log((1 - b) / (1 - both)))
-    chosen = np.argsort(-evidence, kind="stable")[: min(features, int((count_of.sum(0) > 0).sum()))]
-    chosen.sort()
-    small = np.full(size, -1, np.int32)
-    small[chosen] = np.arange(len(chosen))
-    share = min(1.0, most_rows / float(n.sum()))
+        return ToxicModel(grams, np.zeros(size, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    ratio = np.where(counts.any(0), log_ratios(counts, smooth), 0.0)
+    most = max(1, min(most_rows, int(most_features * n.sum() / max(1, counts.sum()))))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(size, np.int32)
         for batch in batches:
-            sets = [small[present(raw, grams, scratch)] for raw in _texts(batch, "text")]
-            sets = [np.sort(s[s >= 0]) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([s.astype("<u2" if len(chosen) <= 1 << 16 else "<u4").tobytes() for s in sets], pa.binary()), batch.column("place")], names=["toxic", "x", "place"])
-
-    place = F.xxhash64("text")
-    some = rows.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
-    got = some.mapInArrow(sparse, "toxic int, x binary, place long").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
-    y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
-    sets = [np.frombuffer(x, "<u2" if len(chosen) <= 1 << 16 else "<u4") for x in got.column("x").to_pylist()]
-    w, bias = _logistic(sets, y, ratio[chosen])
-    weights[chosen] = (w * ratio[chosen]).astype(np.float32)
-    return ToxicModel(grams, weights, bias)
-
-
-def _logistic(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 20, decay: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Logistic weights over the ratio-scaled presence of features, by batches in a fixed order with Adam steps."""
-    w, bias = np.ones(len(ratio)) * 0.1, 0.0
-    m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), 0
-    order = np.random.default_rng(3)
-    size = [len(s) for s in sets]
+            sets = [np.sort(present(text, grams, scratch)).astype("<u4").tobytes() for text in _texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sets, pa.binary()), batch.column("times"), batch.column("place")], names=["toxic", "x", "times", "place"])
+
+    some = sample_texts(rows, most, ["toxic"]).orderBy("place", "toxic").limit(most)
+    got = some.select("text", "toxic", "times", "place").mapInArrow(sparse, "toxic int, x binary, times long, place long").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
+    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("x")]
+    w, bias = fit_logistic(sets, got.column("toxic").to_numpy().astype(np.float64), ratio, got.column("times").to_numpy())
+    return ToxicModel(grams, (w * ratio).astype(np.float32), bias)
+
+
+def fit_logistic(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, times: np.ndarray, epochs: int = 16, penalty: float = 5e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic weights over the ratio-scaled presence of features, from batches in a fixed order; a row counts ``times``.
+
+    Every feature takes part, with steps of its own size (the root of its squared gradients); an absolute penalty on the
+    weights leaves those at 0 that tell nothing. The penalty makes scores shy, so they are stretched in the end.
+    """
+    share = times / times.mean()
+    mean = float((y * share).sum() / share.sum())
+    w, bias = np.zeros(len(ratio)), float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
+    squares, last = np.full(len(ratio), 1e-8), 1e-8
+    order, size = np.random.default_rng(3), np.array([len(s) for s in sets])
     for epoch in range(epochs):
         rows = order.permutation(len(y))
-        for k in range(0, len(rows), 512):
-            part = rows[k : k + 512]
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
             cols = np.concatenate([sets[i] for i in part]).astype(np.int64)
-            of = np.repeat(np.arange(len(part)), [size[i] for i in part])
+            of = np.repeat(np.arange(len(part)), size[part])
             z = np.bincount(of, w[cols] * ratio[cols], len(part)) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) / len(part)
-            grad = np.append(np.bincount(cols, g[of], len(w)) * ratio + decay * (w - 0.1), g.sum())
-            step += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            move = rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w, bias = w - move[:-1], bias - move[-1]
-    return w, float(bias)
+            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) * share[part] / len(part)
+            grad = np.bincount(cols, g[of], len(w)) * ratio
+            squares += grad**2
+            step = np.minimum(rate * (1 - epoch / epochs) / np.sqrt(squares), 300 * rate)
+            w -= step * grad
+            w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+            last += g.sum() ** 2
+            bias -= 0.1 * g.sum() / np.sqrt(last)
+    scaled = w * ratio
+    stretch, bias = _stretched(np.array([scaled[s].sum() for s in sets]), y, share, bias)
+    return w * stretch, bias
+
+
+def _stretched(z: np.ndarray, y: np.ndarray, share: np.ndarray, bias: float) -> tuple[float, float]:
+    """The factor (1 to 10) and the bias with which sums ``z`` give the likeliest labels, by damped Newton steps."""
+    a = 1.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * z + bias, -50, 50)))
+        g, h = (p - y) * share, (p * (1 - p) + 1e-9) * share
+        mixed = (h * z).sum()
+        step = np.linalg.solve(np.array([[(h * z * z).sum() + 1e-3, mixed], [mixed, h.sum() + 1e-3]]), np.array([(g * z).sum(), g.sum()]))
+        a, bias = float(np.clip(a - 0.5 * step[0], 1, 10)), float(np.clip(bias - 0.5 * step[1], -30, 30))
+    return a, bias
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``toxic_score`` from 0 to 1; empty and null texts get the bias."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "toxic_score"]
     schema = StructType([docs.schema[c] for c in keep] + [StructField("toxic_score", DoubleType())])
-    work = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
+    work = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scratch = np.zeros(1 << m.grams.bits, np.int32)
         for batch in batches:
-            z = np.array([m.weights[present(raw, m.grams, scratch)].sum(dtype=np.float64) for raw in _texts(batch, "__text")], np.float64) + m.bias
+            z = np.array([m.weights[present(x, m.grams, scratch)].sum(dtype=np.float64) for x in _texts(batch, "__text")], np.float64) + m.bias
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(p)], names=[*keep, "toxic_score"])
 
@@ -166,19 +201,18 @@ def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: list[str
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000) -> DataFrame:
-    """``text, toxic`` of the labelled rows of ``docs``: of more than ``most_labels`` labels an even share, by a hash of the id.
+    """``text, toxic`` of the labelled rows of ``docs``: of more than ``most_labels`` labelled ids those with the lowest hash.
 
-    That bound is what lets the labels be sent to every task, so texts aren't shuffled to fit the model.
+    That bound, of at most two labels for an id, is what lets the labels be sent to every task, so texts aren't shuffled to
+    fit the model. Repeated labels count once; an id labelled both ways trains both.
     """
-    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    share = most_labels / max(1, known.count())
-    if share < 1:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    ids = known.groupBy("doc_id").agg(F.collect_set("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.explode("toxic").alias("toxic"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``; labels of held-out documents aren't used. A document with two labels trains twice."""
+    """One row for each row of ``docs``; labels of held-out documents aren't used. A document labelled both ways trains twice."""
     model = fit(labelled(docs, labels.filter(~held_out(F.col("doc_id")))))
     found = score(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from heatgraph.llm.quality import COUNTS, with_counts
-from heatgraph.llm.textops import flat
+from heatgraph.llm.quality import COUNTS, count_features, with_counts
+from heatgraph.llm.sampling import sample_texts
+from heatgraph.llm.textops import flat, slices
 
 #: Labellers over rates: more than the value votes for bad, otherwise they don't vote. Each knows one kind of bad text, so
 #: its silence says little.
@@ -127,66 +128,74 @@ class Scorer:
     bias: float
 
 
-def fit_scorer(counted: DataFrame, model: Labellers, rows: int, most_rows: int = 20_000) -> Scorer:
-    """A logistic fit of ``features`` to the posterior labels of ``counted(text, COUNTS)``.
+def fit_scorer(docs: DataFrame, model: Labellers, most_rows: int = 20_000) -> Scorer:
+    """A logistic fit of ``features`` to the posterior labels of ``docs(text)``.
 
-    ``rows`` is how many rows there are; of more than ``most_rows`` an even share of about that many is used, by a hash of
-    the text: the only bound, on rows for fitting. Steps are full-batch and in a fixed order of rows.
+    It takes distinct texts, each with the weight of its number of rows: all of them, or of more the ``most_rows`` with the
+    lowest hash. That is the only bound, on rows for fitting (2 KB each on the driver), and it holds however many
+    rows are copies, empty or null (an empty text). Steps are full-batch and in a fixed order of rows.
     """
-    share = min(1.0, most_rows / max(1, rows))
-    place = F.xxhash64("text")
-    some = counted.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), votes().alias("v"), place.alias("place")).filter(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
+    some = sample_texts(docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), most_rows)
+    some = with_counts(some, ["text", "times", "place"]).select("text", "times", "place", votes().alias("v")).orderBy("place").limit(most_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = flat(batch.column("text"))
             found = [features(raw[a:b]).astype("<f2").tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("v"), batch.column("place")], names=["x", "v", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("v"), batch.column("times"), batch.column("place")], names=["x", "v", "times", "place"])
 
-    got = some.mapInArrow(run, "x binary, v array<int>, place long").toArrow().sort_by("place")
+    got = some.mapInArrow(run, "x binary, v array<int>, times long, place long").toArrow().sort_by("place")
     if not len(got):
         return Scorer(np.zeros(DIMS), float(np.log(model.prior / (1 - model.prior))))
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f2").reshape(-1, DIMS).astype(np.float32)
     y = model.posterior(np.array(got.column("v").to_pylist(), np.int64))
-    w, bias, m, v = np.zeros(DIMS), 0.0, np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-    for step in range(1, 401):
+    return fit_logistic(x, y, got.column("times").to_numpy())
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 400) -> Scorer:
+    """Weights that minimise the logistic loss of rows ``x`` to labels from 0 to 1, each counted ``times``."""
+    share = times / times.sum()
+    w, bias, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -50, 50)))
-        g = (p - y) / len(y)
+        g = (p - y) * share
         grad = np.append(x.T @ g.astype(np.float32) + 1e-6 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.3 * (1 - step / 401) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        move = 0.3 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
     return Scorer(w, float(bias))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``quality_score`` (0 to 1) of each row; null and empty texts get the bias."""
+    """``keep``, COUNTS and ``quality_score`` (0 to 1) of each row, from one look at its text; null and empty texts get the bias."""
     work = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = flat(batch.column("__text"))
-            z = np.array([features(raw[a:b]) @ scorer.weights for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.float64) + scorer.bias
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*keep, "quality_score"])
+            for part in slices(batch, "__text"):
+                raw, offsets = flat(part.column("__text"))
+                counts = count_features(raw, offsets)
+                z = np.array([features(raw[a:b]) @ scorer.weights for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.float64) + scorer.bias
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*keep, *COUNTS, "quality_score"])
 
-    return work.mapInArrow(run, StructType([docs.schema[c] for c in keep] + [StructField("quality_score", DoubleType())]))
+    return work.mapInArrow(run, StructType([docs.schema[c] for c in keep] + [StructField(c, LongType()) for c in COUNTS] + [StructField("quality_score", DoubleType())]))
 
 
 def weak_label_report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_votes, n_bad_votes, posterior, score, kept`` for each row of ``docs(doc_id, text)``.
 
     ``posterior`` is P(good) from the votes alone, ``score`` the scorer's; a row is kept at a score of 0.5 or more.
-    Repeated rows get equal values. A null text is empty: its votes are those of an empty document.
+    Repeated rows get equal values. A null text is empty: its votes are those of an empty document. Texts are read three
+    times: for the counts of vote patterns, for their hashes and the sample, and for votes and scores.
     """
-    counted = with_counts(docs.select("doc_id", "text"), ["doc_id", "text"])
-    model = fit_labellers(counted)
-    scorer = fit_scorer(counted, model, docs.count())
+    model = fit_labellers(with_counts(docs.select("text"), []))
+    scorer = fit_scorer(docs, model)
     logs = np.log(model.table)
     weight = lambda c: F.aggregate(F.zip_with(F.col("v"), F.array(*(F.array(*map(F.lit, row.tolist())) for row in logs[c])), lambda v, row: F.get(row, v + 1)), F.lit(0.0), lambda a, b: a + b)
     odds = weight(1) - weight(0) + float(np.log(model.prior / (1 - model.prior)))
-    voted = counted.select("doc_id", "text", votes().alias("v")).select("doc_id", "text", F.size(F.filter("v", lambda x: x != 0)).alias("n_votes"), F.size(F.filter("v", lambda x: x < 0)).alias("n_bad_votes"), (1 / (1 + F.exp(-odds))).alias("posterior"))
-    found = score(voted, scorer, ["doc_id", "n_votes", "n_bad_votes", "posterior"])
-    return found.select("doc_id", "n_votes", "n_bad_votes", "posterior", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
+    found = score(docs, scorer, ["doc_id"]).select("doc_id", "quality_score", votes().alias("v"))
+    counts = [F.size(F.filter("v", lambda x: x != 0)).alias("n_votes"), F.size(F.filter("v", lambda x: x < 0)).alias("n_bad_votes")]
+    return found.select("doc_id", *counts, (1 / (1 + F.exp(-odds))).alias("posterior"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
 
 
-__all__ = ["BANDS", "COUNTS", "LABELLERS", "Labellers", "Scorer", "estimate", "features", "fit_labellers", "fit_scorer", "score", "votes", "weak_label_report"]
+__all__ = ["BANDS", "COUNTS", "LABELLERS", "Labellers", "Scorer", "estimate", "features", "fit_labellers", "fit_logistic", "fit_scorer", "score", "votes", "weak_label_report"]
