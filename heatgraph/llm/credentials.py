@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatgraph.checkpoints import cut
+from heatgraph.llm.names import free, quoted
 
 # The strong kinds, as (kind, pattern, measured group, least length of it). The runs of access and hex have
 # their least length in the pattern: a shorter run holds no match of its own, so the matches are the same, and the words
@@ -126,26 +127,14 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     return weak.join(other, near & touches, "left_semi").select("key", "start", "end", "kind").distinct()
 
 
-def _free(taken: list[str], name: str) -> str:
-    """``name``, or a longer one that isn't taken; names are told apart without regard to case."""
-    known = {c.lower() for c in taken}
-    while name.lower() in known:
-        name += "_"
-    return name
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _scanned(docs: DataFrame, keep: list[str], text: str, reach: int, out: str) -> DataFrame:
     """The columns ``keep`` of ``docs`` and the spans of its texts in ``out``.
 
     Every text is searched once: what is kept goes to the shared checkpoint folder together with the spans, and only
     spans of texts with complementary parts are shuffled and joined.
     """
-    found, key, links = (_free([*docs.columns, out], n) for n in ("__found", "__key", "__links"))
-    t = f"coalesce({_quoted(text)}, '')"
+    found, key, links = (free([*docs.columns, out], n) for n in ("__found", "__key", "__links"))
+    t = f"coalesce({quoted(text)}, '')"
     weak = lambda side: f"concat({', '.join(_found(t, k, p) for k, p, r in WEAK if (r == 'secret') == side)})"
     secret = f"array({', '.join(str(ROLE[k] == 'secret').lower() for k in KINDS)})"
     strong = f"concat({', '.join(_found(t, *k) for k in STRONG)})"
@@ -154,7 +143,7 @@ def _scanned(docs: DataFrame, keep: list[str], text: str, reach: int, out: str)
     has = lambda side: f"exists(y.every, p -> {'' if side else 'not '}get({secret}, p.kind))"
     some = f"if(size(y.every) > size(y.strong) and {has(True)} and {has(False)}, named_struct('key', sha2({t}, 256), 'parts', y.every, 'breaks', {_found(t, 'break', _BREAK)}), null)"
     made = _let("x", f"named_struct('strong', {strong}, 'phrase', {weak(True)})", _let("y", f"named_struct('strong', x.strong, 'every', concat(x.strong, x.phrase, {others}))", f"named_struct('strong', y.strong, 'text', {some})"))
-    work = cut(docs.select(*[F.col(_quoted(c)) for c in keep], F.expr(made).alias(found)))
+    work = cut(docs.select(*[F.col(quoted(c)) for c in keep], F.expr(made).alias(found)))
     texts = work.filter(F.col(f"{found}.text").isNotNull()).groupBy(F.col(f"{found}.text.key").alias("key"))
     texts = texts.agg(F.first(f"{found}.text.parts").alias("parts"), F.first(f"{found}.text.breaks").alias("breaks"))
     linked = _linked(_scoped(texts, reach), reach).groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias(links))
@@ -162,7 +151,7 @@ def _scanned(docs: DataFrame, keep: list[str], text: str, reach: int, out: str)
     some = work.filter(F.col(f"{found}.text").isNotNull()).withColumn(key, F.col(f"{found}.text.key")).join(linked, key, "left").drop(key)
     rest = work.filter(F.col(f"{found}.text").isNull()).withColumn(links, F.lit(None).cast(_SPANS))
     spans = F.array_sort(F.concat(F.col(f"{found}.strong"), F.coalesce(F.col(links), F.expr(_NONE))))
-    return some.unionByName(rest).withColumn(out, spans).select(*[F.col(_quoted(c)) for c in keep], out)
+    return some.unionByName(rest).withColumn(out, spans).select(*[F.col(quoted(c)) for c in keep], out)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", reach: int = 200) -> DataFrame:
@@ -185,9 +174,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]"
     All other columns and rows stay as they are, whatever their names; null and empty texts are unchanged. A long text is
     copied in pieces, so the work grows with its length and its spans, not with their product.
     """
-    spans = _free(docs.columns, "__spans")
+    spans = free(docs.columns, "__spans")
     found = _scanned(docs, docs.columns, text, reach, spans)
-    raw, x = _quoted(text), _quoted(spans)
+    raw, x = quoted(text), quoted(spans)
     # a span opens a marked stretch if it begins beyond all ends before it
     ends = f"transform({x}, p -> p.end)"
     rows = f"zip_with({x}, {_before(ends, 'greatest({0}, {1})')}, (p, e) -> named_struct('x', p, 'reached', e))"
@@ -198,7 +187,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]"
     between = f"zip_with(concat(array(0), m.end), concat(m.start, array(length({raw}))), (a, b) -> if(b > a, array_join({part}, ''), ''))"
     pieces = f"regexp_extract_all({raw}, '(?s).{{1,{_PIECE}}}', 0)"
     clean = f"if(size({x}) > 0, {_let('m', merged, _let('pieces', pieces, f'array_join({between}, {_text(mark)})'))}, {raw})"
-    return found.withColumn(text, F.expr(clean)).select(*[F.col(_quoted(c)) for c in docs.columns])
+    return found.withColumn(text, F.expr(clean)).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def secret_report(docs: DataFrame, reach: int = 200) -> DataFrame:
