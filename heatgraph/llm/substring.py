@@ -6,210 +6,281 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.llm.textops import Words, covered, flat, mix, whole, windows
 
 _LAST = np.iinfo(np.int64).max
-_MESSAGE = "bucket long, unit long, tag int, a binary, b binary, ids binary, n long"
+#: Messages between units and buckets: hashes, then for the last level the smallest ids, as differences from ``base``.
+_MESSAGE = "bucket long, unit long, hashes binary, ids binary, base long, wide boolean"
+_NAMES = ["bucket", "unit", "hashes", "ids", "base", "wide"]
+_TYPES = [pa.int64(), pa.int64(), pa.large_binary(), pa.large_binary(), pa.int64(), pa.bool_()]
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs; the first byte of the result is that width."""
-    x = x.astype("<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def levels(window: int) -> list[int]:
+    """The lengths that are tried: each is at most twice the one before, the last is ``window``, the first at most 4."""
+    out = [window]
+    while out[0] > 4 or len(out) < 2:
+        out.insert(0, math.ceil(out[0] / 2))
+    return out
 
 
-def _wide(data: bytes) -> np.ndarray:
-    width = data[0]
-    rows = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :width] = rows
-    return out.reshape(-1).view("<u8")
+def sizes(total: int, least: int = 2 << 20, most: int = 64 << 20, per_message: int = 64) -> tuple[int, int]:
+    """How many units and buckets ``total`` bytes of text make.
 
+    Their size grows with the root of the input, so that a message, what one unit has for one bucket, keeps about
+    ``per_message`` hashes (six bytes of text each), until a unit is ``most`` bytes; from there on messages shrink, towards
+    one row for a hash.
+    """
+    unit = min(most, max(least, int(math.sqrt(6 * per_message * total))))
+    return max(1, math.ceil(total / unit)), max(1, math.ceil(total / (2 * unit)))
 
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive stretches of ``data`` as one binary array; ``ends`` are their ends in bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
-def _message(rows: list[tuple]) -> pa.Table:
-    names = ["bucket", "unit", "tag", "a", "b", "ids", "n"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
+def _messages(bucket: np.ndarray, unit: np.ndarray, hashes: pa.Array, ids: pa.Array | None = None, base: np.ndarray | None = None, wide: np.ndarray | None = None) -> pa.Table:
+    n = len(bucket)
+    rest = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((base, pa.int64()), (wide, pa.bool_()))]
+    table = pa.table([pa.array(bucket, pa.int64()), pa.array(unit, pa.int64()), hashes, pa.nulls(n, pa.large_binary()) if ids is None else ids, *rest], names=_NAMES)
+    return table.cast(pa.schema(list(zip(_NAMES, [t if t != pa.large_binary() else pa.binary() for t in _TYPES], strict=True))))
 
-def _low_high(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the distinct keys in order: the place of one row of each, its smallest and its largest id."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    at = np.flatnonzero(new)
-    if not len(at):
-        return order, ids[:0], ids[:0]
-    return order[at], np.minimum.reduceat(ids[order], at), np.maximum.reduceat(ids[order], at)
 
+_EMPTY = np.zeros(0, np.int64)
 
-class _Unit:
-    """The windows of one unit of documents, always in the same order."""
 
-    def __init__(self, table: pa.Table, window: int, seed: int) -> None:
-        ids = table.column("doc_id").to_pylist()
-        # rows without an id are last in the order: they never take words from others
-        self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
-        self.words = Words(*flat(table.column("text")))
-        hashes = self.words.hashes()
-        self.ok = whole(self.words, window)
-        self.at = np.flatnonzero(self.ok)
-        self.window = (windows(hashes, window, 1)[self.at], windows(hashes, window, 2)[self.at] & np.uint64(0xFFFFFFFF))
-        self.owner = self.ids[self.words.text_of()[self.at]] if len(self.at) else self.ids[:0]
-        # each window is represented by the least of the shorter windows inside it, which equal windows share
-        least = windows(hashes, seed, 3)
-        span, done = window - seed + 1, 1
-        while done < span:
-            step = min(done, span - done)
-            least = np.minimum(least[:-step], least[step:])
-            done += step
-        self.seed = mix(least[self.at], 9) >> np.uint64(16)
-
-
-def _seeds(unit: _Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct seeds in order, whether each occurs under two ids, and the place of each window's seed."""
-    if not len(unit.at):
-        return unit.seed, np.zeros(0, bool), unit.seed, np.zeros(0, np.int64)
-    change = np.ones(len(unit.at), bool)
-    change[1:] = (unit.seed[1:] != unit.seed[:-1]) | (unit.owner[1:] != unit.owner[:-1])
-    run = np.flatnonzero(change)
-    one, low, high = _low_high((unit.seed[run],), unit.owner[run])
-    values = unit.seed[run][one]
-    return values, low != high, unit.seed, np.searchsorted(values, unit.seed)
+def _none() -> pa.Table:
+    return _messages(_EMPTY, _EMPTY, _binary(np.zeros(0, np.uint8), _EMPTY))
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """48-bit numbers as six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _long(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _edges(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each bucket's share of the sorted values begins."""
-    return np.searchsorted(x, [-(-(b << bits) // buckets) for b in range(buckets)] + [1 << bits])
+    return np.searchsorted(x, np.array([-(-(b << bits) // buckets) for b in range(buckets)] + [1 << bits], np.uint64))
+
 
+class _Unit:
+    """The windows of one unit of documents, always in the same order."""
 
-def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+    def __init__(self, table: pa.Table) -> None:
+        ids = table.column("doc_id").to_pylist()
+        # rows without an id are last in the order: they never take words from others
+        self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
+        self.words = Words(*flat(table.column("text")))
+        self.hashes = self.words.hashes()
+        self.owner = self.ids[self.words.text_of()] if len(self.words) else self.ids[:0]
+
+    def all_windows(self, length: int) -> np.ndarray:
+        """Where windows of ``length`` begin."""
+        return np.flatnonzero(whole(self.words, length))
+
+    def keys(self, at: np.ndarray, length: int, last: bool) -> tuple[np.ndarray, ...]:
+        """The hashes of the windows at ``at``: 47 bits, for the last level 63 and 31 more."""
+        if not len(at):
+            return (np.zeros(0, np.uint64),) * (1 + last)
+        one = windows(self.hashes, length, 2 * length)[at]
+        if not last:
+            return (mix(one, 9) >> np.uint64(17),)
+        return one >> np.uint64(1), windows(self.hashes, length, 2 * length + 1)[at] >> np.uint64(33)
+
+    def distinct(self, at: np.ndarray, length: int, last: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys in order, the smallest id of each, whether it has several, and the place of each window's key."""
+        keys = self.keys(at, length, last)
+        order = np.lexsort(keys[::-1]) if last else np.argsort(keys[0], kind="stable")
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        first, place = np.flatnonzero(new), np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        if not len(first):
+            return keys, self.ids[:0], np.zeros(0, bool), place
+        own = self.owner[at][order]
+        low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        return tuple(k[order[first]] for k in keys), low, low != high, place
+
+
+def _note(unit: int, words: int, at: np.ndarray) -> pa.Table:
+    """A unit's own note of its candidates; it goes past the buckets."""
+    on = np.zeros(words, bool)
+    on[at] = True
+    bits = np.packbits(on)
+    return _messages(np.array([-1 - unit]), np.array([unit]), _binary(bits, np.array([len(bits)])))
+
+
+def _noted(answers: pa.Table, words: int) -> np.ndarray | None:
+    """The candidates of the unit's note, or None if there is none."""
+    place = np.flatnonzero(answers.column("bucket").to_numpy() < 0)
+    if not len(place):
+        return None
+    return np.flatnonzero(np.unpackbits(np.frombuffer(answers.column("hashes")[int(place[0])].as_py(), np.uint8), count=words))
+
+
+def _sent(unit: int, keys: tuple[np.ndarray, ...], low: np.ndarray, several: np.ndarray, buckets: int) -> pa.Table:
+    """One message for each bucket that a unit has keys for; a key's lowest bit says that it has several ids here."""
+    last = len(keys) == 2
+    cuts = _edges(keys[0], 63 if last else 47, buckets)
+    to = np.flatnonzero(np.diff(cuts))
+    ends, flag = cuts[to + 1], several.astype(np.uint64)
+    if not last:
+        return _messages(to, np.full(len(to), unit), _binary(_short(keys[0] << np.uint64(1) | flag), 6 * ends))
+    both = np.empty(len(low), [("a", "<u8"), ("b", "<u4")])
+    both["a"], both["b"] = keys[0], (keys[1] << np.uint64(1) | flag).astype(np.uint32)
+    base, top = np.minimum.reduceat(low, cuts[to]), np.maximum.reduceat(low, cuts[to])
+    away = (low.view(np.uint64) - np.repeat(base, np.diff(np.append(0, ends))).view(np.uint64))
+    wide = top.view(np.uint64) - base.view(np.uint64) >> np.uint64(32) > 0
+    tables = []
+    for w in (False, True):  # differences take four bytes, or eight in a message that needs them
+        on = np.flatnonzero(wide == w)
+        rows = np.concatenate([np.arange(cuts[to[i]], ends[i]) for i in on]) if len(on) else _EMPTY
+        n = np.cumsum(np.diff(np.append(0, ends))[on])
+        tables.append(_messages(to[on], np.full(len(on), unit), _binary(both[rows].view(np.uint8), 12 * n), _binary(away[rows].astype("<u8" if w else "<u4").view(np.uint8), (8 if w else 4) * n), base[on], wide[on]))
+    return pa.concat_tables(tables)
+
+
+def _ids(table: pa.Table, n: np.ndarray) -> np.ndarray:
+    """The smallest ids of all messages' keys, in order; message i has n[i]."""
+    raw, offsets = flat(table.column("ids"))
+    wide = table.column("wide").to_numpy(zero_copy_only=False).astype(bool)
+    out = np.zeros(int(n.sum()), np.uint64)
+    each = np.repeat(wide, n)
+    inside = np.repeat(wide, np.diff(offsets))
+    out[each], out[~each] = raw[inside].view("<u8"), raw[~inside].view("<u4")
+    return (out + np.repeat(table.column("base").to_numpy().view(np.uint64), n)).view(np.int64)
+
+
+def _matched(table: pa.Table) -> pa.Table:
+    """Tells each unit which of its keys are repeated, one byte for each, and at the last level their smallest id."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table  # a note
+    last = table.column("base").null_count == 0
+    raw, offsets = flat(table.column("hashes"))
+    n = np.diff(offsets) // (12 if last else 6)
+    if last:
+        both = raw.view([("a", "<u8"), ("b", "<u4")])
+        flag, keys = both["b"] & 1, (both["a"], both["b"] >> np.uint32(1))
+        order = np.lexsort(keys[::-1])
+    else:
+        value = _long(raw)
+        flag, keys = value & np.uint64(1), (value >> np.uint64(1),)
+        order = np.argsort(keys[0], kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first, group = np.flatnonzero(new), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    again = (np.diff(np.append(first, len(order))) > 1) | (np.add.reduceat(flag[order].astype(np.int64), first) > 0)
+    hit = again[group]
+    ends = np.cumsum(n)
+    some = np.add.reduceat(hit, np.append(0, ends[:-1]), dtype=np.int64) > 0
+    keep, rows = np.flatnonzero(some), np.repeat(some, n)
+    if not len(keep):
+        return _none()
+    bucket, unit = (table.column(c).to_numpy()[keep] for c in ("bucket", "unit"))
+    marks = _binary(hit[rows].astype(np.uint8), np.cumsum(n[keep]))
+    if not last:
+        return _messages(bucket, unit, marks)
+    low = np.minimum.reduceat(_ids(table, n)[order], first)[group]
+    of = np.repeat(np.arange(len(n)), n)[hit]
+    return _messages(bucket, unit, marks, _binary(low[hit].view(np.uint8), 8 * np.cumsum(np.bincount(of, minlength=len(n))[keep])), np.zeros(len(keep), np.int64), np.ones(len(keep), bool))
+
+
+def _answered(keys: np.ndarray, bits: int, buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted keys are repeated, and the smallest ids of these in order of the keys (at the last level)."""
+    answers = answers.filter(pa.compute.greater_equal(answers.column("bucket"), 0)).sort_by("bucket")
+    out, cuts = np.zeros(len(keys), bool), _edges(keys, bits, buckets)
+    if not len(answers):
+        return out, _EMPTY
+    raw, offsets = flat(answers.column("hashes"))
+    n = np.diff(offsets)
+    out[np.arange(len(raw)) + np.repeat(cuts[answers.column("bucket").to_numpy()] - offsets[:-1], n)] = raw.astype(bool)
+    return out, flat(answers.column("ids"))[0].view(np.int64)
+
+
+def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """``doc_id, text, n_words, n_removed`` for each row of ``docs(doc_id, text)``; text is the kept words with single spaces.
 
     A word is removed if one of the windows of ``window`` words over it also starts in a row with a smaller ``doc_id``.
     Windows are judged on the input. Rows that share a ``doc_id`` don't take words from each other; rows with a null one
-    are after all others. A null or empty text has no words; a text shorter than the window keeps all. Rows come out one
-    for one.
-
-    Levels: the windows of half the length (rounded up), of which every window keeps the one with the least hash, are
-    matched first; only windows around a repeated one are candidates at the next length, about twice as long, and are
-    matched by 96 bits. Longer repeats are unions of these, so the doubling ends at ``window``.
-
-    Documents are dealt into units by a hash of the id. A unit sends the distinct hashes of a level, packed, to hash
-    buckets and gets back one bit for each, so a passage in a third of all documents costs one entry a unit. Nothing is
-    gathered by passage or document, texts are shuffled once (the three passes share that exchange), and every step is a
+    are after all others; ids are whole numbers. A null or empty text has no words; a text shorter than the window keeps
+    all. Rows come out one for one.
+
+    ``levels``, for 13 words 4, 7 and 13: all windows of the first length are matched; a window is a candidate at the next
+    length if both of its ends are windows that occur under two ids; where no candidate survives, nothing is sent and
+    the unit is not looked at again until its rows are written. The last length is matched by 94 bits, others by 47,
+    which may only let a candidate through. Longer repeats are unions of windows, so the doubling ends at ``window``.
+
+    Documents are dealt into units by a hash of the id and the partition they come from, so neither repeated rows nor null
+    ids crowd in one. A unit sends the distinct hashes of a level, packed, to hash buckets and gets back one mark for
+    each: a passage in a third of all documents costs one entry a unit. ``sizes`` says how units and buckets grow. Nothing is
+    gathered by passage or document, texts are shuffled once (the passes share that exchange), and every step is a
     pure function of its input, so lost executors only cost recomputation.
     """
     if window < 2:
         raise ValueError("window must be at least 2 words")
-    seed = math.ceil(window / 2)
+    lengths = levels(window)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units, buckets = max(1, math.ceil(total / unit_bytes)), max(1, math.ceil(total / bucket_bytes))
-    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(units)))
-
-    def send_seeds(key: tuple, table: pa.Table) -> pa.Table:
-        values, several, _, _ = _seeds(_Unit(table, window, seed))
-        cuts, rows = _edges(values, 48, buckets), []
-        for b in np.flatnonzero(np.diff(cuts)):
-            x = slice(cuts[b], cuts[b + 1])
-            rows.append((int(b), key[0].as_py(), 1, _narrow(values[x]), np.packbits(several[x]).tobytes(), None, x.stop - x.start))
-        return _message(rows)
-
-    def match_seeds(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        values = np.concatenate([_wide(r["a"]) for r in rows])
-        several = np.concatenate([_bits(r["b"], r["n"]) for r in rows])
-        distinct, times = np.unique(values, return_counts=True)
-        place = np.searchsorted(distinct, values)
-        again = times > 1
-        again[place[several]] = True
-        parts = np.split(again[place], np.cumsum([r["n"] for r in rows])[:-1])
-        return _message([(r["bucket"], r["unit"], 1, np.packbits(p).tobytes(), None, None, r["n"]) for r, p in zip(rows, parts, strict=True) if p.any()])
-
-    def answered(values: np.ndarray, bits: int, answers: list[dict]) -> np.ndarray:
-        out, cuts = np.zeros(len(values), bool), _edges(values, bits, buckets)
-        for r in answers:
-            out[cuts[r["bucket"]] : cuts[r["bucket"] + 1]] = _bits(r["a"], r["n"])
-        return out
-
-    def distinct_windows(unit: _Unit, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, b, ids = unit.window[0][chosen], unit.window[1][chosen], unit.owner[chosen]
-        one, low, high = _low_high((a, b), ids)
-        return a[one], b[one], low, high
-
-    def send_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        unit, answers = _Unit(left, window, seed), right.to_pylist()
-        if not answers or not len(left):
-            return _message([])
-        values, _, _, place = _seeds(unit)
-        again, number = answered(values, 48, answers), key[0].as_py()
-        a, b, low, high = distinct_windows(unit, again[place])
-        # the unit's own note of its candidates goes past the buckets
-        rows = [(-1 - number, number, 2, np.packbits(again).tobytes(), None, None, len(again))]
-        cuts = _edges(a, 64, buckets)
-        for k in np.flatnonzero(np.diff(cuts)):
-            x = slice(cuts[k], cuts[k + 1])
-            least = int(low[x].min())
-            rows.append((int(k), number, 3, a[x].tobytes(), b[x].astype("<u4").tobytes() + np.packbits(low[x] != high[x]).tobytes(), least.to_bytes(8, "little", signed=True) + _narrow(low[x].view(np.uint64) - np.uint64(least % 2**64)), x.stop - x.start))
-        return _message(rows)
-
-    def match_windows(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if rows[0]["tag"] == 2:
-            return _message([(r["bucket"], r["unit"], 2, r["a"], None, None, r["n"]) for r in rows])
-        size = [r["n"] for r in rows]
-        a = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-        b = np.concatenate([np.frombuffer(r["b"], "<u4", r["n"]) for r in rows])
-        several = np.concatenate([_bits(r["b"][4 * r["n"] :], r["n"]) for r in rows])
-        ids = np.concatenate([(_wide(r["ids"][8:]) + np.uint64(int.from_bytes(r["ids"][:8], "little", signed=True) % 2**64)).view(np.int64) for r in rows])
-        order = np.lexsort((b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        at, group = np.flatnonzero(new), np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(ids[order], at)
-        again = np.diff(np.append(at, len(order))) > 1
-        again[group[several]] = True
-        out = []
-        for r, g in zip(rows, np.split(group, np.cumsum(size)[:-1]), strict=True):
-            if (hit := again[g]).any():
-                low = least[g[hit]]
-                base = int(low.min())
-                out.append((r["bucket"], r["unit"], 3, np.packbits(hit).tobytes(), None, base.to_bytes(8, "little", signed=True) + _narrow(low.view(np.uint64) - np.uint64(base % 2**64)), r["n"]))
-        return _message(out)
+    units, buckets = sizes(total)
+    units, buckets = (k if size is None else max(1, math.ceil(total / size)) for k, size in ((units, unit_bytes), (buckets, bucket_bytes)))
+    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.spark_partition_id()), F.lit(units)))
+    final = len(lengths) - 1
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        unit = _Unit(table)
+        keys, low, several, _ = unit.distinct(unit.all_windows(lengths[0]), lengths[0], False)
+        return _sent(key[0].as_py(), keys, low, several, buckets)
+
+    def survivors(unit: _Unit, level: int, answers: pa.Table) -> np.ndarray | None:
+        """The windows of a level's length whose ends are both repeated at the level before."""
+        at = unit.all_windows(lengths[0]) if level == 1 else _noted(answers, len(unit.words))
+        if at is None or not len(at):
+            return None
+        keys, _, _, place = unit.distinct(at, lengths[level - 1], False)
+        again, _ = _answered(keys[0], 47, buckets, answers)
+        on = np.zeros(len(unit.words) + window, bool)
+        on[at] = again[place]
+        step = lengths[level] - lengths[level - 1]
+        every = unit.all_windows(lengths[level])
+        return every[on[every] & on[every + step]]
+
+    def next_level(level: int):
+        def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return _none()
+            unit, number = _Unit(left), key[0].as_py()
+            at = survivors(unit, level, right)
+            if at is None or not len(at):
+                return _none()
+            keys, low, several, _ = unit.distinct(at, lengths[level], level == final)
+            return pa.concat_tables([_note(number, len(unit.words), at), _sent(number, keys, low, several, buckets)])
+
+        return send
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        unit, answers = _Unit(left, window, seed), right.to_pylist()
+        unit = _Unit(left)
         words = unit.words
         gone = np.zeros(len(words), bool)
-        if any(r["tag"] == 3 for r in answers):
-            _, _, _, place = _seeds(unit)
-            note = next(r for r in answers if r["tag"] == 2)
-            chosen = _bits(note["a"], note["n"])[place]
-            a, b, _, _ = distinct_windows(unit, chosen)
-            cuts, first = _edges(a, 64, buckets), np.full(len(a), _LAST, np.int64)
-            for r in answers:
-                if r["tag"] == 3:
-                    hit = cuts[r["bucket"]] + np.flatnonzero(_bits(r["a"], r["n"]))
-                    first[hit] = (_wide(r["ids"][8:]) + np.uint64(int.from_bytes(r["ids"][:8], "little", signed=True) % 2**64)).view(np.int64)
-            # find each candidate among the distinct ones: by the first half, then along the few with an equal one
-            x, y = unit.window[0][chosen], unit.window[1][chosen]
-            where = np.searchsorted(a, x)
-            while (off := b[where] != y).any():
-                where[off] += 1
-            taken = first[where] < unit.owner[chosen]
+        at = _noted(right, len(words)) if len(right) else None
+        if at is not None and len(at):
+            keys, _, _, place = unit.distinct(at, window, True)
+            again, low = _answered(keys[0], 63, buckets, right)
+            least = np.full(len(again), _LAST, np.int64)
+            least[again] = low
             begins = np.zeros(len(words), bool)
-            begins[unit.at[chosen][taken]] = True
+            begins[at[least[place] < unit.owner[at]]] = True
             gone = covered(begins, window)
         texts, removed, counts = [], [], words.counts()
         raw = words.raw.tobytes()
@@ -221,8 +292,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int = 2 << 2
         return pa.table([left.column("doc_id"), pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
     by_unit = dealt.groupBy("unit")
-    seeds = by_unit.applyInArrow(send_seeds, _MESSAGE).groupBy("bucket").applyInArrow(match_seeds, _MESSAGE)
-    found = by_unit.cogroup(seeds.groupBy("unit")).applyInArrow(send_windows, _MESSAGE).groupBy("bucket").applyInArrow(match_windows, _MESSAGE)
+    found = by_unit.applyInArrow(first, _MESSAGE).groupBy("bucket").applyInArrow(_matched, _MESSAGE)
+    for level in range(1, len(lengths)):
+        found = by_unit.cogroup(found.groupBy("unit")).applyInArrow(next_level(level), _MESSAGE).groupBy("bucket").applyInArrow(_matched, _MESSAGE)
     out = by_unit.cogroup(found.groupBy("unit")).applyInArrow(remove, "doc_id long, text binary, n_words long, n_removed long")
     return out.withColumn("text", F.col("text").cast("string"))
 
