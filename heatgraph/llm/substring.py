@@ -74,13 +74,16 @@ def _edges(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 class _Unit:
-    """The windows of one unit of documents, always in the same order."""
+    """The windows of one unit of documents, always in the same order, whatever the order in which its rows arrive."""
 
     def __init__(self, table: pa.Table) -> None:
-        ids = table.column("doc_id").to_pylist()
         # rows without an id are last in the order: they never take words from others
-        self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
-        self.words = Words(*flat(table.column("text")))
+        ids = [_LAST if i is None else i for i in table.column("doc_id").to_pylist()]
+        texts = [t or b"" for t in table.column("text").to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.table = table.take(pa.array(order, pa.int64()))
+        self.ids = np.array(ids, np.int64)[order]
+        self.words = Words(*flat(self.table.column("text")))
         self.hashes = self.words.hashes()
         self.owner = self.ids[self.words.text_of()] if len(self.words) else self.ids[:0]
 
@@ -284,12 +287,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None =
             gone = covered(begins, window)
         texts, removed, counts = [], [], words.counts()
         raw = words.raw.tobytes()
-        for i in range(len(left)):
+        for i in range(len(unit.table)):
             f, t = words.first[i], words.first[i + 1]
             keep = np.flatnonzero(~gone[f:t]) + f
             removed.append(int(t - f - len(keep)))
             texts.append(b" ".join([raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)]))
-        return pa.table([left.column("doc_id"), pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
+        return pa.table([unit.table.column("doc_id"), pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
     by_unit = dealt.groupBy("unit")
     found = by_unit.applyInArrow(first, _MESSAGE).groupBy("bucket").applyInArrow(_matched, _MESSAGE)

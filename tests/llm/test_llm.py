@@ -888,6 +888,19 @@ def test_substrings_of_odd_texts(spark, odd, width):
     assert substring.dedup_substrings(rows.limit(0), width).count() == 0
 
 
+def test_units_dont_depend_on_the_order_of_rows():
+    draw = random.Random(2)
+    rows = [(draw.choice([None, 1, 2, 3]), " ".join(draw.choice("abc") for _ in range(draw.randrange(30))).encode()) for _ in range(60)] + [(4, None)]
+    seen = []
+    for _ in range(3):
+        draw.shuffle(rows)
+        unit = substring._Unit(substring.pa.table({"doc_id": substring.pa.array([i for i, _ in rows], "int64"), "text": substring.pa.array([t for _, t in rows], "binary")}))
+        at = unit.all_windows(4)
+        keys, low, several, place = unit.distinct(at, 4, True)
+        seen.append([x.tolist() for x in (at, *keys, low, several, place, unit.owner)])
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_levels_double_and_messages_keep_their_size():
     assert substring.levels(13) == [4, 7, 13] and substring.levels(2) == [1, 2] and substring.levels(50) == [4, 7, 13, 25, 50]
     for window in range(2, 200):
