@@ -212,6 +212,11 @@ def _answered(keys: np.ndarray, bits: int, buckets: int, answers: pa.Table) -> t
     return out, flat(answers.column("ids"))[0].view(np.int64)
 
 
+def in_units(docs: DataFrame, units: int) -> DataFrame:
+    """``docs`` with its ``unit``: rows that are all alike are in as many as they have partitions, which a retry doesn't change."""
+    return docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.spark_partition_id()), F.lit(units)))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """``doc_id, text, n_words, n_removed`` for each row of ``docs(doc_id, text)``; text is the kept words with single spaces.
 
@@ -238,7 +243,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None =
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units, buckets = sizes(total)
     units, buckets = (k if size is None else max(1, math.ceil(total / size)) for k, size in ((units, unit_bytes), (buckets, bucket_bytes)))
-    dealt = docs.withColumn("unit", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.spark_partition_id()), F.lit(units)))
+    dealt = in_units(docs, units)
     final = len(lengths) - 1
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
