@@ -68,6 +68,21 @@ def present(text: str, grams: Grams, scratch: np.ndarray, most: int = 1 << 22) -
     return every[scratch[every] == at]
 
 
+def packed(features: np.ndarray) -> bytes:
+    """Distinct features in about a byte each: sorted, as gaps of 254 at most, with bytes 255 before a wider one."""
+    gaps = np.diff(np.sort(features).astype(np.int64), prepend=-1)
+    ends = np.cumsum(gaps // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The features of ``packed``, in order."""
+    x = np.frombuffer(data, np.uint8)
+    return np.cumsum(x, dtype=np.int64)[x != 255] - 1
+
+
 def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
     return (t.as_py() or "" for t in batch.column(name))
 
@@ -114,7 +129,7 @@ def fit(train: DataFrame, grams: Grams = Grams(), most_rows: int = 8_000, most_f
 
     Log-count ratios are counted over all rows. Logistic weights of all ratio-scaled features are fitted on distinct
     texts, each with the weight of its number of rows: on all of them, or on at most ``most_rows`` with about
-    ``most_features`` features, those with the lowest hash. These are the only bounds, and they are on what is gathered for
+    ``most_features`` features (a byte each on the driver), those with the lowest hash. These are the only bounds, and they are on what is gathered for
     fitting. Without rows of both labels the score is the share of label 1 (a half if there are none).
     """
     rows = train.filter("text is not null and toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -129,18 +144,17 @@ def fit(train: DataFrame, grams: Grams = Grams(), most_rows: int = 8_000, most_f
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(size, np.int32)
         for batch in batches:
-            sets = [np.sort(present(text, grams, scratch)).astype("<u4").tobytes() for text in _texts(batch, "text")]
+            sets = [packed(present(text, grams, scratch)) for text in _texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sets, pa.binary()), batch.column("times"), batch.column("place")], names=["toxic", "x", "times", "place"])
 
     some = sample_texts(rows, most, ["toxic"]).orderBy("place", "toxic").limit(most)
     got = some.select("text", "toxic", "times", "place").mapInArrow(sparse, "toxic int, x binary, times long, place long").toArrow().sort_by([("place", "ascending"), ("toxic", "ascending")])
-    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("x")]
-    w, bias = fit_logistic(sets, got.column("toxic").to_numpy().astype(np.float64), ratio, got.column("times").to_numpy())
+    w, bias = fit_logistic(got.column("x").to_pylist(), got.column("toxic").to_numpy().astype(np.float64), ratio, got.column("times").to_numpy())
     return ToxicModel(grams, (w * ratio).astype(np.float32), bias)
 
 
-def fit_logistic(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, times: np.ndarray, epochs: int = 16, penalty: float = 5e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic weights over the ratio-scaled presence of features, from batches in a fixed order; a row counts ``times``.
+def fit_logistic(sets: list[bytes], y: np.ndarray, ratio: np.ndarray, times: np.ndarray, epochs: int = 16, penalty: float = 5e-4, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic weights over the ratio-scaled presence of features, ``packed``, from batches in a fixed order; a row counts ``times``.
 
     Every feature takes part, with steps of its own size (the root of its squared gradients); an absolute penalty on the
     weights leaves those at 0 that tell nothing. The penalty makes scores shy, so they are stretched in the end.
@@ -149,13 +163,13 @@ def fit_logistic(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, times
     mean = float((y * share).sum() / share.sum())
     w, bias = np.zeros(len(ratio)), float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     squares, last = np.full(len(ratio), 1e-8), 1e-8
-    order, size = np.random.default_rng(3), np.array([len(s) for s in sets])
+    order = np.random.default_rng(3)
     for epoch in range(epochs):
         rows = order.permutation(len(y))
         for k in range(0, len(rows), 256):
             part = rows[k : k + 256]
-            cols = np.concatenate([sets[i] for i in part]).astype(np.int64)
-            of = np.repeat(np.arange(len(part)), size[part])
+            own = [unpacked(sets[i]) for i in part]
+            cols, of = np.concatenate(own), np.repeat(np.arange(len(part)), [len(x) for x in own])
             z = np.bincount(of, w[cols] * ratio[cols], len(part)) + bias
             g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[part]) * share[part] / len(part)
             grad = np.bincount(cols, g[of], len(w)) * ratio
@@ -166,7 +180,7 @@ def fit_logistic(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, times
             last += g.sum() ** 2
             bias -= 0.1 * g.sum() / np.sqrt(last)
     scaled = w * ratio
-    stretch, bias = _stretched(np.array([scaled[s].sum() for s in sets]), y, share, bias)
+    stretch, bias = _stretched(np.array([scaled[unpacked(s)].sum() for s in sets]), y, share, bias)
     return w * stretch, bias
 
 

@@ -836,12 +836,15 @@ def test_every_occurring_feature_is_fitted():
     for s, t in zip(sets, y, strict=True):
         counts[int(t), s.astype(int)] += 1
     ratio = toxicity.log_ratios(counts)
-    w, bias = toxicity.fit_logistic(sets, np.array(y), ratio, np.ones(600))
+    small = [toxicity.packed(s) for s in sets]
+    assert all((toxicity.unpacked(x) == s).all() for x, s in zip(small, sets, strict=True))
+    assert toxicity.unpacked(toxicity.packed(np.array([0, 254, 255, 510, 2000]))).tolist() == [0, 254, 255, 510, 2000] and not len(toxicity.unpacked(toxicity.packed(np.zeros(0, int))))
+    w, bias = toxicity.fit_logistic(small, np.array(y), ratio, np.ones(600))
     z = np.array([(w * ratio)[s.astype(int)].sum() for s in sets]) + bias
     assert ((z > 0) == np.array(y, bool)).all() and np.argmax(w * ratio) == 4999
     # a row that counts three times is three rows
-    a = toxicity.fit_logistic(sets[:200], np.array(y[:200]), ratio, np.full(200, 3.0))
-    b = toxicity.fit_logistic(sets[:200], np.array(y[:200]), ratio, np.ones(200))
+    a = toxicity.fit_logistic(small[:200], np.array(y[:200]), ratio, np.full(200, 3.0))
+    b = toxicity.fit_logistic(small[:200], np.array(y[:200]), ratio, np.ones(200))
     assert np.allclose(a[0], b[0])
 
 
