@@ -142,8 +142,9 @@ def l2_normalize(spark, d):
 
 @query("SELECT e.vec_id AS id, i.ord, round(e.embedding[1]::DOUBLE, 6) AS first FROM embeddings e JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC)::INT AS ord FROM embeddings WHERE vec_id % 100 = 3) i USING (vec_id)")
 def get_vectors(spark, d):
-    ids = _emb(spark, d).filter("id % 100 = 3").select("id")
-    wanted = ids.crossJoin(F.broadcast(ids.agg(F.array_sort(F.collect_list("id")).alias("all")))).select("id", (F.size("all") - F.array_position("all", F.col("id")) + 1).cast("int").alias("ord"))
+    """Every hundredth id or so, asked for in descending order."""
+    ids = _emb(spark, d).filter("id % 100 = 3").select("id", (-F.col("id")).alias("back"))
+    wanted = maintenance.assign_ids(ids, 0, ("back",), "ord").select("id", F.col("ord").cast("int").alias("ord"))
     return knn.get_vectors(_emb(spark, d), wanted).select("id", "ord", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
@@ -390,6 +391,48 @@ def _end(a: str) -> str:
 _NEXT = "CASE WHEN b - round_even((b - a) * 0.15, 0) <= a THEN b ELSE b - round_even((b - a) * 0.15, 0)::BIGINT END"
 
 
+def _split_sql(start: str, most: int, least: int, overlap: float = 0.15) -> str:
+    """Windows of ``start(doc_id, text, path, base, stop)`` from base to stop, joined while small, with their positions."""
+    ends = lambda a: f"CASE WHEN stop - {a} <= {most} THEN stop ELSE {a} + (SELECT CASE {{cases}} ELSE {most} END FROM (SELECT substr(text, {a} + 1, {most}) AS region)) END".replace(
+        "{cases}", " ".join(f"WHEN contains(region, {s}) THEN {most} - (position(reverse({s}) IN reverse(region)) - 1)" for s in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")))
+    step = f"CASE WHEN b - round_even((b - a) * {overlap}, 0) <= a THEN b ELSE b - round_even((b - a) * {overlap}, 0)::BIGINT END"
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE start AS ({start}),
+w AS (SELECT doc_id, path, text, stop, base AS a, {ends("base")} AS b FROM start
+UNION ALL SELECT doc_id, path, text, stop, s AS a, {ends("s")} AS b FROM (SELECT doc_id, path, text, stop, {step} AS s FROM w WHERE b < stop)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS i, length(trim(substr(text, a + 1, b - a), {blank})) < {least} AS small FROM w),
+g AS (SELECT *, sum(CASE WHEN i = 1 OR NOT small THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+m AS (SELECT doc_id, path, text, g, min(a) AS a, max(b) AS b FROM g GROUP BY ALL),
+h AS (SELECT *, CASE WHEN g = 2 AND first_small THEN 1 ELSE g END AS g2 FROM (SELECT *, bool_or(g = 1 AND length(trim(substr(text, a + 1, b - a), {blank})) < {least}) OVER (PARTITION BY doc_id) AS first_small FROM m)),
+c AS (SELECT doc_id, path, text, min(a) AS a, max(b) AS b FROM h GROUP BY doc_id, path, text, g2)
+SELECT path AS file_path, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INT AS pos, substr(text, a + 1, b - a) AS text, strlen(substr(text, 1, a))::INT AS byte_start, strlen(substr(text, 1, b))::INT AS byte_end,
+(1 + a - length(replace(substr(text, 1, a), chr(10), '')))::INT AS line_start, (1 + b - 1 - length(replace(substr(text, 1, b - 1), chr(10), '')))::INT AS line_end
+FROM c WHERE length(trim(substr(text, a + 1, b - a), {blank})) > 0"""
+
+
+_WHOLE = "SELECT doc_id, text, source || '/' || doc_id || '.txt' AS path, 0::BIGINT AS base, length(text) AS stop FROM documents WHERE length(text) > 0"
+_CODE = """SELECT doc_id, text, path, base, lead(base, 1, length(text)) OVER (PARTITION BY doc_id ORDER BY base) AS stop FROM (
+SELECT DISTINCT doc_id, text, path, unnest([0::BIGINT] || list_transform(range(1, len(parts)), lambda i: (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 9 + 1)::BIGINT)) AS base
+FROM (SELECT doc_id, text, path, string_split(text, chr(10) || 'def f():') AS parts FROM (SELECT doc_id, source || '/' || doc_id || '.py' AS path, 'import x' || chr(10) || regexp_replace(text, '\\.\\n', '.' || chr(10) || 'def f():' || chr(10), 'g') AS text FROM documents)))"""
+_SENTENCES = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, list_transform(regexp_extract_all(text, '[.!?]\\s+|\\n+'), lambda x: length(x)) AS lens,
+list_transform(string_split_regex(text, '[.!?]\\s+|\\n+'), lambda x: length(x)) AS gaps FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, text, n, list_transform(range(1, len(lens) + 1), lambda i: (list_sum(gaps[1:i]) + list_sum(lens[1:i]))::BIGINT) || [n] AS ends FROM d),
+w AS (SELECT doc_id, text, n, ends, 0::BIGINT AS a, CASE WHEN n <= 768 THEN n ELSE {first} END AS b FROM s
+UNION ALL SELECT doc_id, text, n, ends, b AS a, {next} AS b FROM w WHERE b < n),
+p AS (SELECT doc_id, text, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i, length(trim(substr(text, a + 1, b - a), {blank})) < 128 AS small FROM w),
+g AS (SELECT *, sum(CASE WHEN i = 1 OR NOT small THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+m AS (SELECT doc_id, text, g, min(a) AS a, max(b) AS b FROM g GROUP BY ALL),
+h AS (SELECT *, CASE WHEN g = 2 AND bool_or(g = 1 AND length(trim(substr(text, a + 1, b - a), {blank})) < 128) OVER (PARTITION BY doc_id) THEN 1 ELSE g END AS g2 FROM m),
+c AS (SELECT doc_id, text, min(a) AS a, max(b) AS b FROM h GROUP BY doc_id, text, g2)
+SELECT doc_id AS chunk_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS ord, substr(text, a + 1, b - a) AS text FROM c"""
+
+
+def _sentence_sql() -> str:
+    """Windows that end at the last sentence end within 512 characters, else at the first one beyond; small ones joined."""
+    end = lambda a: f"CASE WHEN {a} + 512 >= n THEN n ELSE coalesce(list_max(list_filter(ends, lambda e: e > {a} AND e <= {a} + 512)), list_min(list_filter(ends, lambda e: e > {a} + 512))) END"
+    return _SENTENCES.format(first=end("0"), next=end("b"), blank="' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)")
+
+
 @query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS a, {_end("0")} AS b FROM (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0)
 UNION ALL SELECT doc_id, text, n, s AS a, {_end("s")} AS b FROM (SELECT doc_id, text, n, {_NEXT} AS s FROM w WHERE b < n))
 SELECT doc_id, a::INT AS char_start, b::INT AS char_end, strlen(substr(text, 1, a))::INT AS byte_start, strlen(substr(text, 1, b))::INT AS byte_end,
@@ -411,17 +454,15 @@ def chunk_windows(spark, d):
     return rows.select("doc_id", a.alias("char_start"), b.alias("char_end"), F.octet_length(head(a)).alias("byte_start"), F.octet_length(head(b)).alias("byte_end"), line(a).alias("line_start"), line(b - 1).alias("line_end"))
 
 
-@query()
+@query(_split_sql(_WHOLE, 4800, 100))
 def chunk_documents(spark, d):
     return chunking.chunk_files(corpus.from_table(_t(spark, d, "documents")))
 
 
-@query("SELECT doc_id AS chunk_id, text FROM documents WHERE length(text) > 0")
+@query(_sentence_sql())
 def subchunk_windows(spark, d):
-    """Sentence windows, put together again."""
-    parts = chunking.split_sentences(_docs(spark, d).filter("length(text) > 0"))
-    whole = parts.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
-    return whole.select("chunk_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    """Sentence windows of documents."""
+    return chunking.split_sentences(_docs(spark, d).filter("length(text) > 0"))
 
 
 def _as_files(spark: SparkSession, d: str, kind: str, head: str, mark: str) -> DataFrame:
@@ -436,16 +477,18 @@ def chunk_markdown(spark, d):
     return chunking.chunk_files(_as_files(spark, d, ".md", "# Top\n", "## Part\n"), 400)
 
 
-@query()
+@query(_split_sql(_CODE, 2400, 100))
 def chunk_code(spark, d):
     return chunking.chunk_files(_as_files(spark, d, ".py", "import x\n", "def f():\n"), 400)
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS part FROM documents WHERE doc_id < 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 < 2 OR regexp_matches(coalesce(text, ''), '^\\s*$') THEN 0 ELSE 1 END AS chunks FROM documents")
 def chunk_blank_files(spark, d):
-    """Blank texts have no chunks."""
-    blank = _docs(spark, d).select(F.concat(F.lit("x/"), F.col("id").cast("string")).alias("path"), F.lit(" \n\t ").alias("text"))
-    return chunking.chunk_files(blank).select(F.col("pos").cast("long").alias("id"), F.col("text").alias("part"))
+    """How many chunks short files have: half of them are made blank, and blank files have none."""
+    short = F.when(F.col("id") % 4 == 0, F.lit("")).when(F.col("id") % 4 == 1, F.lit(" \n\t ")).otherwise(F.substring("text", 1, 400))
+    files = _docs(spark, d).select(F.col("id").cast("string").alias("path"), short.alias("text"))
+    found = chunking.chunk_files(files).groupBy("file_path").agg(F.count("*").cast("int").alias("chunks"))
+    return files.join(found, files["path"] == found["file_path"], "left").select(F.col("path").cast("long").alias("doc_id"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 @query("SELECT source || '/' || doc_id || '.txt' AS path FROM documents WHERE source <> 'src3' AND regexp_matches(source, '^src1') AND (doc_id % 10 <> 7 OR doc_id = 17)")
@@ -455,13 +498,13 @@ def corpus_filters(spark, d):
     return corpus.selected(files, ["src1*/**"], ["src3/"], ["# comment", "*7.txt", "!17.txt"]).select("path")
 
 
-@query("SELECT doc_id AS id, replace(text, chr(10), ' / ') AS text, doc_id % 2 = 0 AS binary FROM documents")
+@query("SELECT doc_id AS id, replace(text, chr(10), ' / ') AS text, doc_id % 2 = 0 AND strlen(replace(text, chr(10), chr(13) || chr(10))) < 8192 AS binary FROM documents")
 def decoded_texts(spark, d):
-    """Bytes with Windows line ends, every other one with a zero byte, decoded."""
+    """Bytes with Windows line ends, every other one with a zero byte at its end (seen only near the beginning), decoded."""
     raw = F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"), F.when(F.col("id") % 2 == 0, F.lit(b"\0")).otherwise(F.lit(b"")))
     rows = _docs(spark, d).select("id", F.length("text").alias("n"), raw.alias("content"))
     clean = F.replace(corpus.decode_text("content"), F.lit("\0"), F.lit(""))
-    return rows.select("id", F.replace(clean, F.lit("\n"), F.lit(" / ")).alias("text"), (corpus.is_binary("content") | ((F.col("id") % 2 == 0) & (F.octet_length("content") > corpus.SNIFFED))).alias("binary"))
+    return rows.select("id", F.replace(clean, F.lit("\n"), F.lit(" / ")).alias("text"), corpus.is_binary("content").alias("binary"))
 
 
 # maintenance
@@ -608,10 +651,26 @@ _RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOI
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage word for word; the passages are a stated, small query set."""
+    """Documents that hold a passage word for word.
+
+    A passage that lies in a document has its inner words in it as they are, so the two meet by a hash of the passage's first
+    three inner words; then the whole passage is looked for. The few passages with fewer inner words are looked for
+    in every document.
+    """
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = _docs(spark, d).join(F.broadcast(items), F.contains("text", "query")).groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("relevant"))
-    return items.join(hits, "query_id", "left")
+    docs = _docs(spark, d).select("id", "text")
+    split = lambda c: F.filter(F.split(c, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    inner = F.transform(split("query"), lambda w: w)
+    marked = items.withColumn("ws", inner).withColumn("long", F.size("ws") >= 5)
+    anchors = marked.filter("long").select("query_id", "query", F.xxhash64(F.slice("ws", 2, 3)).alias("h"))
+    ws = F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.xxhash64(F.slice("ws", i, 3)))
+    hashed = docs.withColumn("ws", split("text")).filter(F.size("ws") >= 3).select("id", F.explode(F.array_distinct(ws)).alias("h"))
+    near = hashed.join(anchors.select("query_id", "h"), "h").select("id", "query_id").distinct()
+    hits = near.join(docs, "id").join(items, "query_id").filter(F.contains("text", "query")).select("query_id", "id")
+    short = marked.filter("not long").select("query_id", "query")
+    if not short.isEmpty():
+        hits = hits.unionByName(docs.join(short, F.contains("text", "query")).select("query_id", "id"))
+    return items.join(hits.groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("relevant")), "query_id", "left")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:

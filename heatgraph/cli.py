@@ -1,15 +1,20 @@
-"""Commands: init, index, query, status, config, eval. Each prints one JSON document; exit codes are 0, 1 (nothing found) and 2 (error)."""
+"""Commands: init, index, query, status, config, eval, inspect. Each prints one JSON document; exit codes are 0, 1 (nothing found) and 2 (error)."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Mapping
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from heatgraph.errors import HeatgraphError
 from heatgraph.plans import config as cfg
 
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame, SparkSession
+
 
 def _emit(doc: object) -> None:
     print(json.dumps(doc, ensure_ascii=False))
@@ -33,6 +38,10 @@ def main(argv: list[str] | None = None) -> int:
     e = sub.add_parser("eval")
     e.add_argument("labels")
     e.add_argument("--configs", default=",".join(("baseline", "graph", "full")))
+    i = sub.add_parser("inspect").add_subparsers(dest="what", required=True)
+    for what, kind in (("chunk", int), ("file", str), ("neighbors", int), ("community", int)):
+        i.add_parser(what).add_argument("key", type=kind)
+    i.add_parser("communities")
     a = p.parse_args(argv)
     try:
         return _run(a)
@@ -84,6 +93,10 @@ def _run(a: argparse.Namespace) -> int:
         about = counts(tables["files"], tables["chunks"], tables["edges"], tables["communities"]).first().asDict()
         _emit({"schema": "heatgraph.status.v1", **about, "drift": drift(tables["files"], scan()).first().asDict()})
         return 0
+    if a.command == "inspect":
+        doc, found = _inspect(spark, tables, a.what, getattr(a, "key", None))
+        _emit({"schema": f"heatgraph.inspect.{a.what}.v1", **doc})
+        return 0 if found else 1
     check_model(store.manifest(), config)
     if a.command == "eval":
         rows = run_eval(tables, labelled_queries(spark, a.labels), config, tuple(a.configs.split(",")), **models).collect()
@@ -102,5 +115,36 @@ def _run(a: argparse.Namespace) -> int:
     return 0 if rows else 1
 
 
+def _inspect(spark: SparkSession, tables: Mapping[str, DataFrame], what: str, key: int | str | None) -> tuple[dict, bool]:
+    """One document, and whether it has something to show. An unknown chunk, file or community is an error."""
+    from heatgraph.operators import communities, lookups
+
+    chunks, edges, members = tables["chunks"], tables["edges"], tables["communities"]
+    if what == "communities":
+        rows = [r.asDict() for r in communities.community_preview(members, chunks).orderBy("size", "community_id", ascending=[False, True]).collect()]
+        return {"count": len(rows), "communities": rows}, bool(rows)
+    if what == "community":
+        rows = [{"id": r["chunk_id"], "file": r["file_path"], "line_start": r["line_start"], "line_end": r["line_end"]} for r in lookups.community_members(members, chunks, key).collect()]
+        if not rows:
+            raise HeatgraphError(f"there is no community {key}")
+        return {"community_id": key, "size": len(rows), "members": rows}, True
+    if what == "file":
+        record = tables["files"].filter(tables["files"]["path"] == key).first()
+        if record is None:
+            raise HeatgraphError(f"there is no file {key}")
+        own = lookups.inspect_files(tables["files"], chunks, spark.createDataFrame([(key,)], "path string")).orderBy("id").collect()
+        rows = [{c: r[c] for c in ("id", "line_start", "line_end", "preview")} for r in own]
+        return {"path": key, "content_hash": record["content_hash"], "chunk_count": len(rows), "chunks": rows}, bool(rows)
+    chunk = chunks.filter(chunks["id"] == key).first()
+    if chunk is None:
+        raise HeatgraphError(f"there is no chunk {key}")
+    near = lookups.inspect_neighbors(edges, chunks, spark.createDataFrame([(key,)], "id long")).orderBy("rank").collect()
+    rows = [{"id": r["neighbor"], "weight": r["weight"], "file": r["file_path"], "line_start": r["line_start"], "line_end": r["line_end"]} for r in near]
+    if what == "neighbors":
+        return {"id": key, "neighbors": rows}, bool(rows)
+    about = {c: chunk[c] for c in ("byte_start", "byte_end", "line_start", "line_end", "text")}
+    return {"id": key, "file": chunk["file_path"], **about, "edges": rows}, bool(rows)
+
+
 if __name__ == "__main__":
     sys.exit(main())

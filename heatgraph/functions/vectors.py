@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def l2_norm(v: Column | str) -> Column:
+    """The root of the sum of squares."""
     return F.sqrt(dot(v, v))
 
 
@@ -38,12 +44,27 @@ def words(text: Column | str) -> Column:
 def hash_embed(rows: DataFrame, key: str = "id", text: str = "text", dims: int = 64) -> DataFrame:
     """``key, vector`` for each key: unit counts of its words by MD5 modulo ``dims`` (a power of two up to 256).
 
-    Counts are combined before the shuffle. A text without words has a zero vector; rows that share a key are one text.
+    Words are counted where their text is, and only the counts are shuffled, after sums in each task. A text without words has
+    a zero vector; rows that share a key are one text.
     """
-    own = rows.select(F.col(key).alias("key"), F.explode_outer(words(text)).alias("w"))
-    # the digest's low bits are its last two hexadecimal digits
-    own = own.select("key", (F.conv(F.right(F.md5("w"), F.lit(2)), 16, 10).cast("int") % dims).alias("bucket"))
-    n = own.groupBy("key", "bucket").agg(F.count("*").cast("double").alias("n"))
-    m = n.groupBy("key").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "n")), lambda x: x["bucket"].isNotNull())).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))
-    return m.select(F.col("key").alias(key), v.alias("v")).select(key, l2_normalize("v").alias("vector"))
+    work = rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            found = np.zeros((len(batch), dims), np.int64)
+            for i, t in enumerate(batch.column("t")):
+                ws = (t.as_py() or "").lower().split()
+                for w in ws:
+                    if w not in known:
+                        if len(known) > 500_000:
+                            known.clear()
+                        known[w] = md5(w.encode("utf-8", "surrogatepass")).digest()[-1] % dims
+                if ws:
+                    found[i] = np.bincount([known[w] for w in ws], minlength=dims)
+            offsets = np.arange(0, dims * (len(batch) + 1), dims, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], names=["key", "n"])
+
+    counted = work.mapInArrow(count, f"key {work.schema['key'].dataType.simpleString()}, n array<long>")
+    sums = F.array(*(F.sum(F.get("n", F.lit(i))) for i in range(dims)))
+    return counted.groupBy("key").agg(sums.alias("v")).select(F.col("key").alias(key), l2_normalize("v").alias("vector"))

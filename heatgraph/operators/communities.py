@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgraph.checkpoints import cut
 from heatgraph.operators.components import connected_components
+from heatgraph.operators.maintenance import assign_ids
 
 Graph = dict[int, dict[int, float]]
 
@@ -19,9 +21,9 @@ def _move(graph: Graph, own: dict[int, float], label: dict[int, int], total: flo
     weight: dict[int, float] = defaultdict(float)
     for v, c in label.items():
         weight[c] += own[v]
-    queue, queued = list(order), set(order)
+    queue, queued = deque(order), set(order)
     while queue:
-        v = queue.pop(0)
+        v = queue.popleft()
         queued.discard(v)
         near: dict[int, float] = defaultdict(float)
         for u, w in graph[v].items():
@@ -49,7 +51,8 @@ def partition(edges: list[tuple[int, int, float]], total: float, resolution: flo
     graph: Graph = defaultdict(dict)
     for a, b, w in sorted(edges):
         graph[a][b] = graph[a].get(b, 0.0) + w
-        graph[b][a] = graph[b].get(a, 0.0) + w
+        if a != b:  # a loop stands for what was merged into a node
+            graph[b][a] = graph[a][b]
     members = {v: [v] for v in graph}
     start: dict[int, int] | None = None
     draw = random.Random(seed)
@@ -85,27 +88,70 @@ def partition(edges: list[tuple[int, int, float]], total: float, resolution: flo
     return {m: label[v] for v, ms in members.items() for m in ms}
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
+def _merged(edges: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+    """``node, into``: nodes that go into the neighbour with the highest gain in modularity, if that gain is positive.
+
+    By a hash of the node and ``turn`` half of the nodes may go and half may receive, so merges are stars.
+    """
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))  # a loop counts twice
+    strength = both.groupBy("src").agg(F.sum("weight").alias("s"))
+    pairs = both.filter("src <> dst").join(strength, "src").join(strength.select(F.col("src").alias("dst"), F.col("s").alias("t")), "dst")
+    gain = F.col("weight") - F.lit(resolution) * F.col("s") * F.col("t") / F.lit(total)
+    best = pairs.withColumn("gain", F.round(gain, 12)).filter("gain > 0").groupBy("src").agg(F.max_by("dst", F.struct("gain", -F.col("dst"))).alias("into"))
+    goes = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 0
+    return best.filter(goes("src") & ~goes("into")).select(F.col("src").alias("node"), "into")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42, most_edges: int = 1_000_000) -> DataFrame:
     """``chunk_id, community_id``: numbers from 0 in order of the smallest member; nodes without edges are absent.
 
     Components are found by joins and partitioned side by side, each with the weight of the whole graph in its gains, as
-    they affect each other through it alone. A component is the unit that has to fit into a task.
+    they affect each other through it alone. While a component has more than ``most_edges`` edges, it is made
+    coarser first, by joins: nodes go into the neighbour they gain most with, and edges between what has merged are added up.
+    So no task gets more than that many; a large component whose nodes gain nothing any more is left as it is.
     """
     total = 2 * float(edges.agg(F.sum("weight")).first()[0] or 0.0)
-    comps = connected_components(edges)
-    of = edges.join(comps.withColumnRenamed("node", "src"), "src").select("component", "src", "dst", "weight")
+    comps = cut(connected_components(edges))
+    graph = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    graph = cut(graph.join(comps.withColumnRenamed("node", "src"), "src").select("component", "src", "dst", "weight"))
+    names = comps.select(F.col("node").alias("chunk_id"), F.col("node").alias("now"))
+    idle, done = 0, None
+    for turn in range(1000):
+        large = graph.groupBy("component").count().filter(F.col("count") > most_edges).select("component")
+        some = cut(graph.join(large, "component", "left_semi"))
+        if some.isEmpty():
+            break
+        moves = cut(_merged(some, total, resolution, turn))
+        if moves.isEmpty():
+            idle += 1
+            if idle < 8:
+                continue
+            done = cut(some)
+            graph = graph.join(large, "component", "left_anti")
+            break
+        idle = 0
+        to = lambda end: F.coalesce(F.col(f"to_{end}"), F.col(end))
+        moved = some.join(moves.select(F.col("node").alias("src"), F.col("into").alias("to_src")), "src", "left").join(moves.select(F.col("node").alias("dst"), F.col("into").alias("to_dst")), "dst", "left")
+        moved = moved.select("component", F.least(to("src"), to("dst")).alias("src"), F.greatest(to("src"), to("dst")).alias("dst"), "weight").groupBy("component", "src", "dst").agg(F.sum("weight").alias("weight"))
+        graph = cut(graph.join(large, "component", "left_anti").unionByName(moved))
+        names = cut(names.join(moves.withColumnRenamed("node", "now"), "now", "left").select("chunk_id", F.coalesce("into", "now").alias("now")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = partition(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)), total, resolution, seed)
-        return pd.DataFrame({"chunk_id": list(found), "label": [found[v] for v in found]})
+        return pd.DataFrame({"now": list(found), "label": [found[v] for v in found]})
 
-    labels = of.groupBy("component").applyInPandas(run, "chunk_id long, label long")
+    labels = graph.groupBy("component").applyInPandas(run, "now long, label long")
+    if done is not None:
+        ends = done.select(F.col("src").alias("now")).unionByName(done.select(F.col("dst").alias("now"))).distinct()
+        labels = labels.unionByName(ends.select("now", F.col("now").alias("label")))
+    labels = cut(names.join(labels, "now").select("chunk_id", "label"))
     least = labels.groupBy("label").agg(F.min("chunk_id").alias("least"))
-    number = least.withColumn("community_id", (F.row_number().over(Window.orderBy("least")) - 1).cast("int"))
-    return labels.join(number.select("label", "community_id"), "label").select("chunk_id", "community_id")
+    number = assign_ids(least, -1, ("least",), "community_id").select("label", F.col("community_id").cast("int").alias("community_id"))
+    return labels.join(number, "label").select("chunk_id", "community_id")
 
 
 def community_sizes(members: DataFrame) -> DataFrame:
+    """``community_id, size``, the largest first, ties by number."""
     return members.groupBy("community_id").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "community_id")
 
 

@@ -28,67 +28,75 @@ def search(vectors: DataFrame, query: list[float], k: int, id: str = "id", vecto
 
 def _stack(vectors: pd.Series) -> np.ndarray:
     x = np.array(vectors.tolist(), np.float64)
-    return x.reshape(len(vectors), -1)
+    return x.reshape(len(vectors), -1) if len(vectors) else x.reshape(0, 0)
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0, id: str = "id", vector: str = "vector", block: int = 2048) -> DataFrame:
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.0, id: str = "id", vector: str = "vector", owner: str | None = None, block: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """``query_id, id, sim, rank`` of the k rows most like each row of ``queries(query_id, vector)``, at ``floor`` or more.
 
-    Queries are dealt into blocks of about ``block`` by a hash, rows into as many slices as there are partitions; every
-    block meets every slice once, in a matrix product that keeps k rows for each query before anything else is shuffled.
-    That is the stated query set against all rows: the work is queries times rows, and no task holds more than a block
-    of queries and a batch of rows.
+    With ``owner``, a column of both sides, rows of a query's own owner are left out before the best are taken. Queries
+    of up to ``block_bytes`` (65,536 of 64 numbers), or ``block`` of them, are a bounded broadcast: the rows stay where they are, and a matrix
+    product keeps k of a batch for each query before anything is shuffled. More queries are dealt into blocks of that size
+    by a hash, rows into as many slices as there are partitions, and every block meets every slice once: the stated query
+    set against all rows. For all rows against each other beyond that size, ``cells.search_cells`` does less.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.select("query_id", F.col("vector").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    packed = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
-    slices = vectors.sparkSession.sparkContext.defaultParallelism
-    rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
-    if blocks == 1:  # at most ``block`` queries: a bounded broadcast
-        qs = packed.collect()
-        held = [(r["query_id"], r["v"]) for r in (qs[0]["qs"] if qs else [])]
-        schema = queries.schema
-        if not held:
-            return queries.select("query_id").join(rows.select("id").limit(0), how="inner").select("query_id", "id", F.lit(0.0).alias("sim"), F.lit(1).alias("rank"))
-        sent = queries.sparkSession.sparkContext.broadcast(([h[0] for h in held], np.array([h[1] for h in held], np.float64)))
+    own = F.col(owner) if owner else F.lit(None).cast("long")
+    asked = queries.select("query_id", own.alias("o"), F.col("vector").alias("v"))
+    rows = vectors.select(F.col(id).alias("id"), own.alias("o"), F.col(vector).alias("v"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, sim double"
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n // (block or max(1, block_bytes // (8 * (width or 1))))))
+    if blocks == 1:
+        sent = queries.sparkSession.sparkContext.broadcast(asked.toPandas())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
+            q = sent.value
+            matrix = _stack(q["v"])
             for pdf in batches:
-                if len(pdf):
-                    yield _best(np.array(ids), matrix, pdf["id"].to_numpy(), _stack(pdf["v"]), k, floor)
+                if len(pdf) and len(q):
+                    yield best(q, matrix, pdf, k, floor)
 
-        kind = schema["query_id"].dataType.simpleString()
-        found = rows.mapInPandas(run, f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, sim double")
+        found = rows.mapInPandas(run, kinds)
     else:
+        slices = vectors.sparkSession.sparkContext.defaultParallelism
         dealt = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        found = dealt.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInPandas(lambda left, right: meet(left, right, k, floor), kinds)
+    return rank_within(found, ["query_id"], k, [F.desc("sim"), F.asc("id")])
 
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "id": [], "sim": []})
-            return _best(right["query_id"].to_numpy(), _stack(right["v"]), left["id"].to_numpy(), _stack(left["v"]), k, floor)
 
-        kind = queries.schema["query_id"].dataType.simpleString()
-        found = dealt.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInPandas(meet, f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, sim double")
-    return rank_within(found, ["query_id"], k, [F.desc("sim"), F.asc("id")])
+def meet(rows: pd.DataFrame, asked: pd.DataFrame, k: int, floor: float) -> pd.DataFrame:
+    """The best of some rows for some queries, if there are any of both."""
+    if not len(rows) or not len(asked):
+        return pd.DataFrame({"query_id": [], "id": [], "sim": []})
+    return best(asked, _stack(asked["v"]), rows, k, floor)
 
 
-def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, floor: float) -> pd.DataFrame:
-    """The k best of ``ids`` for each query; all rows that tie with the k-th are kept for the ranking to come."""
-    sims = np.round(np.clip(q @ v.T, 0, 1), DIGITS)
-    if sims.shape[1] > k:
-        kth = np.partition(sims, -k, 1)[:, -k][:, None]
-        on = (sims >= kth) & (sims >= floor)
-        # of ties at the k-th only the smallest ids can be ranked
-        for i in np.flatnonzero(on.sum(1) > 4 * k):
-            tied = np.flatnonzero(on[i] & (sims[i] == kth[i]))
-            on[i, tied[np.argsort(ids[tied], kind="stable")[k:]]] = False
-    else:
-        on = sims >= floor
-    a, b = np.nonzero(on)
-    return pd.DataFrame({"query_id": qids[a], "id": ids[b], "sim": sims[a, b]})
+def best(asked: pd.DataFrame, matrix: np.ndarray, rows: pd.DataFrame, k: int, floor: float, tile: int = 1024) -> pd.DataFrame:
+    """The k best of ``rows`` for each query; of those that tie with the k-th the smallest ids, for the ranking to come.
+
+    ``tile`` queries and rows are multiplied at a time.
+    """
+    qids, ids, v = asked["query_id"].to_numpy(), rows["id"].to_numpy(), _stack(rows["v"])
+    owned, mine = rows["o"].notna().any(), rows["o"].to_numpy()
+    found = []
+    for a in range(0, len(qids), tile):
+        for b in range(0, len(ids), 16 * tile):
+            part = slice(b, b + 16 * tile)
+            sims = np.round(np.clip(matrix[a : a + tile] @ v[part].T, 0, 1), DIGITS)
+            if owned:
+                sims[asked["o"].to_numpy()[a : a + tile][:, None] == mine[part][None, :]] = -1.0
+            on = sims >= max(floor, 0.0)
+            if sims.shape[1] > k:
+                kth = np.partition(sims, -k, 1)[:, -k][:, None]
+                on &= sims >= kth
+                # of ties at the k-th only the smallest ids can be ranked
+                for i in np.flatnonzero(on.sum(1) > 4 * k):
+                    tied = np.flatnonzero(on[i] & (sims[i] == kth[i]))
+                    on[i, tied[np.argsort(ids[part][tied], kind="stable")[k:]]] = False
+            i, j = np.nonzero(on)
+            found.append(pd.DataFrame({"query_id": qids[a + i], "id": ids[b + j], "sim": sims[i, j]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def floor_filter(vectors: DataFrame, query: list[float], floor: float, id: str = "id", vector: str = "vector") -> DataFrame:

@@ -14,14 +14,17 @@ def get_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
+    """The hash of every file's content."""
     return files.select("path", "content_hash")
 
 
 def chunk_ids_for_file(chunks: DataFrame, path: str) -> DataFrame:
+    """The ids of one file's chunks, in order."""
     return chunks.filter(F.col("file_path") == path).select("id").orderBy("id")
 
 
 def all_chunk_ids(chunks: DataFrame) -> DataFrame:
+    """The ids of all chunks, in order."""
     return chunks.select("id").orderBy("id")
 
 
@@ -56,5 +59,6 @@ def inspect_files(files: DataFrame, chunks: DataFrame, paths: DataFrame, preview
 
 
 def community_members(members: DataFrame, chunks: DataFrame, community_id: int) -> DataFrame:
+    """The chunks of one community with their files and lines, in order; none if there is no such community."""
     own = members.filter(F.col("community_id") == community_id)
     return own.join(chunks.select(F.col("id").alias("chunk_id"), "file_path", "line_start", "line_end"), "chunk_id").orderBy("chunk_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.checkpoints import cut
-from heatgraph.errors import ConfigError
+from heatgraph.errors import ConfigError, HeatgraphError
 from heatgraph.functions.chunking import chunk_files, split_sentences
 from heatgraph.functions.providers import Embedder, embed_rows
 from heatgraph.operators.communities import communities
@@ -22,6 +22,9 @@ def _edge_lists(tables: Mapping[str, DataFrame], sources: DataFrame, config: Con
     g = config.graph
     vectors = tables["chunk_vectors"].select(F.col("chunk_id").alias("id"), "vector")
     if g.edge_source == "subchunk":
+        bare = tables["chunk_vectors"].join(tables["subchunks"], "chunk_id", "left_anti").limit(1).count()
+        if bare:
+            raise HeatgraphError("some chunks have no sub-chunk vectors: rebuild the index in full")
         return subchunk_edges(tables["subchunks"], vectors, sources, g.k, g.min_edge_sim, g.near_dup_sim)
     return knn_edges(vectors, sources, g.k, g.min_edge_sim).select("src", "dst", "weight")
 
