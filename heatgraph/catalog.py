@@ -414,6 +414,13 @@ _WHOLE = "SELECT doc_id, text, source || '/' || doc_id || '.txt' AS path, 0::BIG
 _CODE = """SELECT doc_id, text, path, base, lead(base, 1, length(text)) OVER (PARTITION BY doc_id ORDER BY base) AS stop FROM (
 SELECT DISTINCT doc_id, text, path, unnest([0::BIGINT] || list_transform(range(1, len(parts)), lambda i: (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 9 + 1)::BIGINT)) AS base
 FROM (SELECT doc_id, text, path, string_split(text, chr(10) || 'def f():') AS parts FROM (SELECT doc_id, source || '/' || doc_id || '.py' AS path, 'import x' || chr(10) || regexp_replace(text, '\\.\\n', '.' || chr(10) || 'def f():' || chr(10), 'g') AS text FROM documents)))"""
+_MARKDOWN = """WITH RECURSIVE f AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, '# Top' || chr(10) || regexp_replace(text, '\\.\\n', '.' || chr(10) || '## Part' || chr(10), 'g') AS text FROM documents),
+l AS (SELECT *, list_transform(string_split_regex(text, '\\n#{1,6} '), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, '\\n#{1,6} '), lambda x: length(x)) AS lens FROM f),
+s AS (SELECT doc_id, path, text, [0::BIGINT] || list_transform(range(1, len(lens) + 1), lambda i: (list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i - 1]), 0) + 1)::BIGINT) || [length(text)] AS e FROM l),
+r AS (SELECT doc_id, path, text, e, 1::BIGINT AS i, e[1] AS a, e[2] AS b, e[1] AS pa, e[2] - e[1] <= 2400 AS growing, 1 AS part FROM s
+UNION ALL SELECT doc_id, path, text, e, i + 1, a, b, CASE WHEN same THEN pa ELSE a END, b - a <= 2400, CASE WHEN same THEN part ELSE part + 1 END
+FROM (SELECT *, growing AND b - a <= 2400 AND b - pa <= 1600 AS same FROM (SELECT doc_id, path, text, e, i, e[i + 1] AS a, e[i + 2] AS b, pa, growing, part FROM r WHERE i + 1 < len(e))))
+SELECT doc_id, text, path, min(a) AS base, max(b) AS stop FROM r GROUP BY doc_id, text, path, part"""
 _SENTENCES = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, list_transform(regexp_extract_all(text, '[.!?]\\s+|\\n+'), lambda x: length(x)) AS lens,
 list_transform(string_split_regex(text, '[.!?]\\s+|\\n+'), lambda x: length(x)) AS gaps FROM documents WHERE length(text) > 0),
 s AS (SELECT doc_id, text, n, list_transform(range(1, len(lens) + 1), lambda i: (list_sum(gaps[1:i]) + list_sum(lens[1:i]))::BIGINT) || [n] AS ends FROM d),
@@ -472,7 +479,7 @@ def _as_files(spark: SparkSession, d: str, kind: str, head: str, mark: str) -> D
     return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(kind)).alias("path"), text.alias("text"))
 
 
-@query()
+@query(_split_sql(_MARKDOWN, 2400, 100))
 def chunk_markdown(spark, d):
     return chunking.chunk_files(_as_files(spark, d, ".md", "# Top\n", "## Part\n"), 400)
 
