@@ -7,28 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heatgraph.functions.providers import Embedder
-from heatgraph.operators.maintenance import upsert
 from heatgraph.plans.config import Config
 from heatgraph.plans.index import run_index
 from heatgraph.sources.snapshots import Snapshots
 
 
-def index_stream(files: DataFrame, store: Snapshots, corpus: str, checkpoint: str, config: Config = Config(), embedder: Embedder | None = None) -> StreamingQuery:
-    """Applies each batch of ``files(path, content_hash, mtime, text)`` to the corpus table at ``corpus`` and indexes it.
+def index_stream(files: DataFrame, store: Snapshots, checkpoint: str, config: Config = Config(), embedder: Embedder | None = None) -> StreamingQuery:
+    """Applies each batch of ``files(path, content_hash, mtime, text)`` to the index in ``store``.
 
-    A null text deletes the file. The last row of a path in a batch (by mtime) counts. A batch that is repeated after a
-    failure finds its files unchanged, so it adds nothing twice.
+    A null text deletes the file. The last row of a path in a batch (by mtime) counts. Files that a batch doesn't name
+    stand in the build with the hash the index has of them, so their texts are neither kept beside the index nor read again. A
+    batch that is repeated after a failure finds its files unchanged, so it adds nothing twice.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         last = batch.groupBy("path").agg(F.max_by(F.struct("content_hash", "mtime", "text"), "mtime").alias("r")).select("path", "r.*")
-        try:
-            old = spark.read.parquet(f"{corpus}/{number - 1}") if number else last.limit(0)
-        except Exception as e:
-            raise FileNotFoundError(f"the corpus before batch {number} is missing") from e
-        now = upsert(old, last, "path").filter("text is not null")
-        now.write.mode("overwrite").parquet(f"{corpus}/{number}")
-        run_index(store, spark.read.parquet(f"{corpus}/{number}"), config, embedder)
+        known = store.table("files").select("path", "content_hash", "mtime", F.lit(None).cast("string").alias("text"))
+        now = known.join(last.select("path"), "path", "left_anti").unionByName(last.filter("text is not null"))
+        run_index(store, now, config, embedder)
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

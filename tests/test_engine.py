@@ -261,3 +261,23 @@ def test_missing_subchunks_are_an_error(spark, project):
     files = spark.createDataFrame([("new.md", "h", 0.0, "some new text about dogs")], "path string, content_hash string, mtime double, text string")
     with pytest.raises(HeatgraphError, match="sub-chunk"):
         build(tables, corpus.scan_folder(spark, str(project), ["*.md"]).unionByName(files), config, highest=100)
+
+
+def test_batches_of_files_are_indexed(spark, tmp_path):
+    from heatgraph.streaming.incremental import index_stream
+
+    ddl = "path string, content_hash string, mtime double, text string"
+    store, source = Snapshots(spark, str(tmp_path / "index")), str(tmp_path / "in")
+    batches = [
+        [("a.md", "1", 1.0, "dogs bark at night"), ("a.md", "0", 0.5, "older"), ("b.md", "1", 1.0, "cats sleep all day")],
+        [("a.md", "2", 2.0, "dogs bark at cats"), ("c.md", "1", 2.0, "birds sing")],
+        [("b.md", "-", 3.0, None)],
+    ]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        index_stream(spark.readStream.schema(ddl).parquet(source), store, str(tmp_path / "checkpoint"), Config().set("graph.min_edge_sim", 0.05)).awaitTermination()
+        seen.append({r["file_path"]: (r["id"], r["text"]) for r in store.table("chunks").collect()})
+    assert {p: t for p, (_, t) in seen[0].items()} == {"a.md": "dogs bark at night", "b.md": "cats sleep all day"}
+    assert seen[1]["b.md"] == seen[0]["b.md"] and seen[1]["a.md"][1] == "dogs bark at cats" and set(seen[2]) == {"a.md", "c.md"}
+    assert seen[2]["c.md"] == seen[1]["c.md"]
