@@ -12,6 +12,7 @@ _WORDS = f"w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_f
 
 
 def substring_sql(window: int = 13) -> str:
+    """The rows of ``substring_report``."""
     return f"""WITH {_WORDS},
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM w)),
 f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
@@ -52,6 +53,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 
 def secrets_sql(reach: int = 200) -> str:
+    """The rows of ``secret_report``."""
     kinds, places = [], []
     for k, (name, pattern, group, least) in enumerate([*STRONG, *((n, p, 0, 0) for n, p, _ in WEAK)]):
         quoted = "'" + pattern.replace("'", "''") + "'"

@@ -451,7 +451,7 @@ def payload(text):
 
 
 def test_media(docs, odd):
-    for rows in (docs, odd):
+    for rows in (docs, odd, clashing(odd)):
         found = media.media_report(rows).collect()
         want = [(i, len((t or "").encode()), len(p := payload(t)), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) for i, t in pairs(rows)]
         assert ordered(tuple(r)[:5] for r in found) == ordered(want)
@@ -904,6 +904,24 @@ def test_units_dont_depend_on_the_order_of_rows():
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_messages_are_read_back():
+    draw = np.random.default_rng(6)
+    for buckets, count in ((1, 5), (7, 1000), (4000, 300)):
+        keys = np.unique(np.concatenate([draw.integers(0, 1 << 47, count, dtype=np.uint64), [0, 1, (1 << 47) - 1]])).astype(np.uint64)
+        several = draw.random(len(keys)) < 0.3
+        sent = substring._sent(3, (keys,), np.zeros(len(keys), np.int64), several, buckets)
+        back, answers = [], []
+        for row in range(len(sent)):
+            one = sent.slice(row, 1)
+            value, n = substring._from_gaps(*substring.flat(one.column("hashes")), 2 * substring._floor(one.column("bucket")[0].as_py(), 47, buckets))
+            assert n.tolist() == [len(value)]
+            back += value.tolist()
+            answers.append(substring._matched(one, buckets))
+        assert back == (keys * np.uint64(2) + several).tolist()
+        found, _ = substring._answered(keys, 47, buckets, substring.pa.concat_tables(answers))
+        assert (found == several).all()
+
+
 def test_levels_double_and_messages_keep_their_size():
     assert substring.levels(13) == [4, 7, 13] and substring.levels(2) == [1, 2] and substring.levels(50) == [4, 7, 13, 25, 50]
     for window in range(2, 200):
