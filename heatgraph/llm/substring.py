@@ -57,20 +57,51 @@ def _none() -> pa.Table:
     return _messages(_EMPTY, _EMPTY, _binary(np.zeros(0, np.uint8), _EMPTY))
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """48-bit numbers as six bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+_WIDE = (1 << 32) - 1
 
 
-def _long(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def _gaps(x: np.ndarray, base: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that grow within each message, from its base on, as their differences in four bytes each; message i has n[i].
+
+    A difference of more than four bytes is preceded by as many full ones as it takes. Also where each message ends, in bytes.
+    """
+    stops = np.cumsum(n)
+    away = np.diff(x, prepend=x[:1])
+    first = stops - n
+    away[first] = x[first] - base
+    ends = np.cumsum(away // np.uint64(_WIDE) + np.uint64(1)).astype(np.int64)
+    out = np.full(int(ends[-1]) if len(ends) else 0, _WIDE, np.uint32)
+    out[ends - 1] = away % np.uint64(_WIDE)
+    return out, 4 * ends[stops - 1]
+
+
+def _from_gaps(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of messages with one base, and how many each has."""
+    x, first = data.view("<u4"), offsets[:-1] // 4
+    sums = np.cumsum(x, dtype=np.uint64)
+    before = np.where(first > 0, sums[first - 1], np.uint64(0))
+    ends = x != _WIDE
+    n = np.add.reduceat(ends, first, dtype=np.int64)
+    return sums[ends] - np.repeat(before, n) + np.uint64(base), n
+
+
+def _marks(on: np.ndarray, n: np.ndarray) -> pa.Array:
+    """One bit for each entry; every message begins a byte."""
+    size = -(-n // 8)
+    begin = 8 * (np.cumsum(size) - size)
+    bits = np.zeros(8 * int(size.sum()), bool)
+    bits[np.arange(len(on)) + np.repeat(begin - (np.cumsum(n) - n), n)] = on
+    return _binary(np.packbits(bits), np.cumsum(size))
+
+
+def _floor(bucket: int, bits: int, buckets: int) -> int:
+    """The least hash of a bucket."""
+    return -(-(bucket << bits) // buckets)
 
 
 def _edges(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Where each bucket's share of the sorted values begins."""
-    return np.searchsorted(x, np.array([-(-(b << bits) // buckets) for b in range(buckets)] + [1 << bits], np.uint64))
+    return np.searchsorted(x, np.array([_floor(b, bits, buckets) for b in range(buckets + 1)], np.uint64))
 
 
 class _Unit:
@@ -139,7 +170,9 @@ def _sent(unit: int, keys: tuple[np.ndarray, ...], low: np.ndarray, several: np.
     to = np.flatnonzero(np.diff(cuts))
     ends, flag = cuts[to + 1], several.astype(np.uint64)
     if not last:
-        return _messages(to, np.full(len(to), unit), _binary(_short(keys[0] << np.uint64(1) | flag), 6 * ends))
+        base = np.array([2 * _floor(b, 47, buckets) for b in to.tolist()], np.uint64)
+        data, stops = _gaps(keys[0] << np.uint64(1) | flag, base, np.diff(cuts)[to])
+        return _messages(to, np.full(len(to), unit), _binary(data.view(np.uint8), stops))
     both = np.empty(len(low), [("a", "<u8"), ("b", "<u4")])
     both["a"], both["b"] = keys[0], (keys[1] << np.uint64(1) | flag).astype(np.uint32)
     base, top = np.minimum.reduceat(low, cuts[to]), np.maximum.reduceat(low, cuts[to])
@@ -165,19 +198,19 @@ def _ids(table: pa.Table, n: np.ndarray) -> np.ndarray:
     return (out + np.repeat(table.column("base").to_numpy().view(np.uint64), n)).view(np.int64)
 
 
-def _matched(table: pa.Table) -> pa.Table:
-    """Tells each unit which of its keys are repeated, one byte for each, and at the last level their smallest id."""
+def _matched(table: pa.Table, buckets: int) -> pa.Table:
+    """Tells each unit which of its keys are repeated, one bit for each, and at the last level their smallest id."""
     if table.column("bucket")[0].as_py() < 0:
         return table  # a note
     last = table.column("base").null_count == 0
     raw, offsets = flat(table.column("hashes"))
-    n = np.diff(offsets) // (12 if last else 6)
     if last:
+        n = np.diff(offsets) // 12
         both = raw.view([("a", "<u8"), ("b", "<u4")])
         flag, keys = both["b"] & 1, (both["a"], both["b"] >> np.uint32(1))
         order = np.lexsort(keys[::-1])
     else:
-        value = _long(raw)
+        value, n = _from_gaps(raw, offsets, 2 * _floor(table.column("bucket")[0].as_py(), 47, buckets))
         flag, keys = value & np.uint64(1), (value >> np.uint64(1),)
         order = np.argsort(keys[0], kind="stable")
     new = np.ones(len(order), bool)
@@ -192,7 +225,7 @@ def _matched(table: pa.Table) -> pa.Table:
     if not len(keep):
         return _none()
     bucket, unit = (table.column(c).to_numpy()[keep] for c in ("bucket", "unit"))
-    marks = _binary(hit[rows].astype(np.uint8), np.cumsum(n[keep]))
+    marks = _marks(hit[rows], n[keep])
     if not last:
         return _messages(bucket, unit, marks)
     low = np.minimum.reduceat(_ids(table, n)[order], first)[group]
@@ -207,8 +240,10 @@ def _answered(keys: np.ndarray, bits: int, buckets: int, answers: pa.Table) -> t
     if not len(answers):
         return out, _EMPTY
     raw, offsets = flat(answers.column("hashes"))
-    n = np.diff(offsets)
-    out[np.arange(len(raw)) + np.repeat(cuts[answers.column("bucket").to_numpy()] - offsets[:-1], n)] = raw.astype(bool)
+    bucket = answers.column("bucket").to_numpy()
+    n = np.diff(cuts)[bucket]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # places within each message
+    out[np.repeat(cuts[bucket], n) + inside] = np.unpackbits(raw)[np.repeat(8 * offsets[:-1], n) + inside]
     return out, flat(answers.column("ids"))[0].view(np.int64)
 
 
@@ -231,7 +266,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None =
     which may only let a candidate through. Longer repeats are unions of windows, so the doubling ends at ``window``.
 
     Documents are dealt into units by a hash of the id and the partition they come from, so neither repeated rows nor null
-    ids crowd in one. A unit sends the distinct hashes of a level, packed, to hash buckets and gets back one mark for
+    ids crowd in one. A unit sends the distinct hashes of a level, packed, to hash buckets and gets back one bit for
     each: a passage in a third of all documents costs one entry a unit. ``sizes`` says how units and buckets grow. Nothing is
     gathered by passage or document, texts are shuffled once (the passes share that exchange), and every step is a
     pure function of its input, so lost executors only cost recomputation.
@@ -300,9 +335,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, unit_bytes: int | None =
         return pa.table([unit.table.column("doc_id"), pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
     by_unit = dealt.groupBy("unit")
-    found = by_unit.applyInArrow(first, _MESSAGE).groupBy("bucket").applyInArrow(_matched, _MESSAGE)
+    match = lambda table: _matched(table, buckets)
+    found = by_unit.applyInArrow(first, _MESSAGE).groupBy("bucket").applyInArrow(match, _MESSAGE)
     for level in range(1, len(lengths)):
-        found = by_unit.cogroup(found.groupBy("unit")).applyInArrow(next_level(level), _MESSAGE).groupBy("bucket").applyInArrow(_matched, _MESSAGE)
+        found = by_unit.cogroup(found.groupBy("unit")).applyInArrow(next_level(level), _MESSAGE).groupBy("bucket").applyInArrow(match, _MESSAGE)
     out = by_unit.cogroup(found.groupBy("unit")).applyInArrow(remove, "doc_id long, text binary, n_words long, n_removed long")
     return out.withColumn("text", F.col("text").cast("string"))
 
