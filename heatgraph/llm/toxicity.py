@@ -221,7 +221,11 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labels: int = 200_000) ->
     fit the model. Repeated labels count once; an id labelled both ways trains both.
     """
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    ids = known.groupBy("doc_id").agg(F.collect_set("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+    # a few more than wanted by their share of the hashes, so that no task sorts more than the bound
+    share = (most_labels + 6 * most_labels**0.5 + 64) / max(1, known.select("doc_id").distinct().count())
+    if share < 1:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    ids = known.groupBy("doc_id").agg(F.collect_set("toxic").alias("toxic")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(most_labels)
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.explode("toxic").alias("toxic"))
 
 

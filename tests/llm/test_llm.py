@@ -854,6 +854,8 @@ def test_labels_are_bounded(spark):
     found = [tuple(r) for r in toxicity.labelled(docs, labels).collect()]
     assert len(found) == 50 + 1 + 1 and ("text 1", 0) in found and ("text 1", 1) in found
     assert len({t for t, _ in toxicity.labelled(docs.filter("text <> 'text again'"), labels, 20).collect()}) == 20
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(1).alias("toxic"))
+    assert toxicity.labelled(many, many, 3000).count() == 3000
 
 
 # substrings
