@@ -1,6 +1,7 @@
 """Operators on small inputs with results worked out by hand."""
 
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def test_hash_embedder(spark):
     assert by[2] == [0.0] * 64 and by[3] == [0.0] * 64
 
 
+def test_hash_embedder_forgets_words_within_a_text(spark):
+    ws = [f"w{i}" for i in range(500_010)]
+    n = [0] * 64
+    for w in ws:
+        n[md5(w.encode()).digest()[-1] % 64] += 1
+    found = vectors.hash_embed(frame(spark, [(1, " ".join(ws)), (2, "w1 w1")], "id long, text string").coalesce(1)).collect()
+    by = {r["id"]: r["vector"] for r in found}
+    norm = sum(x * x for x in n) ** 0.5
+    assert by[1] == pytest.approx([x / norm for x in n]) and max(by[2]) == 1.0
+
+
+def test_unit_vectors(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, []), (4, None), (5, [1.0, None])]
+    found = {r["id"]: r["v"] for r in frame(spark, rows, "id long, v array<double>").select("id", vectors.l2_normalize("v").alias("v")).collect()}
+    assert found == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [], 4: None, 5: [None, None]}
+
+
 def test_knn(spark, five):
     found = edges.knn_edges(five, None, 2, 0.5).collect()
     by = {s: [(r["dst"], round(r["weight"], 6)) for r in sorted(found, key=lambda r: r["rank"]) if r["src"] == s] for s, _ in VECTORS}
