@@ -3,6 +3,8 @@
 import random
 from hashlib import md5
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,30 @@ def test_blocks_of_queries_agree_with_one_block(spark):
     assert one == many and len(one) == 600
 
 
+@pytest.fixture
+def apart(spark):
+    """Shuffles whose partitions aren't joined again."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["id", "concat('v', id)"])
+def test_blocks_meet_every_slice(spark, apart, name):
+    draw = random.Random(6)
+    v = frame(spark, [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(120)], "id long, v array<double>").select(F.expr(name).alias("id"), F.expr("id div 4").alias("own"), vectors.l2_normalize("v").alias("vector"))
+    q = v.select(F.col("id").alias("query_id"), "own", "vector")
+    one, many = (sorted(map(tuple, knn.search_batch(v, q, 5, 0.1, owner="own", block=b).collect())) for b in (1000, 17))
+    assert one == many and len(one) == 600
+
+
+def test_sides_without_rows_meet_nothing(spark):
+    rows, asked = (pd.DataFrame({k: ["a"], "o": [1], "v": [[1.0]]}) for k in ("id", "query_id"))
+    for none in (knn.meet(rows[:0], asked, 3, 0.0), knn.meet(rows, asked[:0], 3, 0.0)):
+        for kind in (pa.string(), pa.int64()):
+            assert isinstance(pa.Array.from_pandas(none["id"], type=kind), pa.Array) and len(none) == 0
+
+
 def test_replacement_rule_equals_going_node_by_node(spark):
     draw = random.Random(7)
     for _ in range(3):
