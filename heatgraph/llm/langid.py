@@ -145,17 +145,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _chosen(train: DataFrame, per_language: int) -> DataFrame:
-    """``text, lang`` of about ``per_language`` distinct texts of each language at most."""
-    known = train.filter("lang is not null and text is not null").select("text", "lang")
-    return sample_texts(known, per_language, ["lang"]).select("text", "lang")
+def _known(train: DataFrame) -> DataFrame:
+    return train.filter("lang is not null and text is not null").select("text", "lang")
 
 
-def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int = 4000) -> tuple[list[str], np.ndarray]:
+def _chosen(train: DataFrame, per_language: int | None) -> DataFrame:
+    """``text, lang`` of about ``per_language`` distinct texts of each language at most, or of all without it."""
+    return sample_texts(_known(train), per_language, ["lang"]).select("text", "lang")
+
+
+def fit_prototypes(train: DataFrame, space: Space = Space(), per_language: int | None = 4000) -> tuple[list[str], np.ndarray]:
     """Languages of ``train(text, lang)`` in order, and the normalised sum of their documents' vectors.
 
     Rows with a null language or text are left out, and copies count once. Of a language with more than ``per_language``
-    distinct texts about that many are used, chosen by a hash of the text; the bound is on rows for fitting only. Each
+    distinct texts about that many are used, chosen by a hash of the text; the bound is on rows for fitting only, and None takes all. Each
     text counts the same, as a vector of whole numbers, so sums don't depend on their order. A language takes ``dims``
     numbers on the driver and in a task (4 KB), and there may be any number of them.
     """
@@ -232,15 +235,18 @@ def _letters(text: str) -> Column:
     return F.length(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[^\p{L}]+", "")).cast("double")
 
 
-def fit_spread(train: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space(), per_language: int = 4000) -> DataFrame:
+def fit_spread(train: DataFrame, langs: list[str], prototypes: np.ndarray, space: Space = Space()) -> DataFrame:
     """``lang, spread`` of each language: its documents of n letters score about sqrt(n / (n + spread)).
 
-    The spread is the median over the documents of ``train`` that ``fit_prototypes`` learns from, so junk among them
-    hardly moves it. It stands for how many letters of the language are as much alike as not.
+    The spread is the median over all distinct texts of ``train``, so junk among them hardly moves it (of a sketch of all
+    of them, within 1 in 10,000 of their ranks). It stands for how many letters of the language are as much alike as not.
     """
-    n, s = _letters("text"), F.col("lang_score")
-    found = predict_language(_chosen(train, per_language), langs, prototypes, space).filter("lang_score > 0")
-    rows = found.groupBy("lang").agg(F.percentile_approx(n * (1 / (s * s) - 1), 0.5, 10_000).alias("spread")).toArrow()
+    # equal texts have equal scores, so they are told apart by their hashes, and no text is shuffled
+    rows = _known(train).select("text", "lang", F.xxhash64("text").alias("place"), _letters("text").alias("n"))
+    found = predict_language(rows, langs, prototypes, space, keep=["place", "lang", "n"]).filter("lang_score > 0")
+    n, s = F.col("n"), F.col("s")
+    once = found.groupBy("place", "lang").agg(F.max("n").alias("n"), F.max("lang_score").alias("s"))
+    rows = once.groupBy("lang").agg(F.percentile_approx(n * (1 / (s * s) - 1), 0.5, 10_000).alias("spread")).toArrow()
     return train.sparkSession.createDataFrame(rows)
 
 

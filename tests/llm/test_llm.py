@@ -220,6 +220,26 @@ def test_prototypes_and_cosines_by_hand(spark):
     assert rows[0]["lang_pred"] == langs[int(np.argmax(cosines))] and abs(rows[0]["lang_score"] - max(cosines)) < 1e-5
 
 
+def test_the_pipeline_learns_languages_from_all_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    texts = {" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) + draw.choice("ij") for _ in range(draw.randint(2, 9))) for _ in range(9_000)}
+    rows = [(i, t, "xx") for i, t in enumerate([*sorted(texts), *["aaaj bbi"] * 3_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    keep = lambda docs, langs, prototypes, spread: seen.update(table=prototypes, spread=spread.first()["spread"]) or docs
+    monkeypatch.setattr(langid, "keep_known", keep)
+    corpus_pipeline.language(spark, docs, "")
+    train = sorted({t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5})
+    vectors = langid._unit(langid.bundle(train, langid.Space())[0])
+    table = langid._unit(np.rint(vectors * langid._SCALE).sum(0, np.float64))
+    assert np.allclose(seen["table"][0], table, atol=1e-6)
+    n, s = np.array([sum(map(str.isalpha, t)) for t in train]), np.clip(vectors @ table, 0, 1)
+    wide = np.sort(n * (1 / s**2 - 1))
+    assert len(train) > 6_000 and wide[len(wide) // 2 - 3] - 1e-3 <= seen["spread"] <= wide[len(wide) // 2 + 3] + 1e-3
+
+
 def test_hyperdimensional_sums_by_hand():
     space = langid.Space(dims=64)
     a, b, blank = (langid._letter(space, ord(c)).astype(int) for c in "ab ")
