@@ -281,3 +281,40 @@ def test_batches_of_files_are_indexed(spark, tmp_path):
     assert {p: t for p, (_, t) in seen[0].items()} == {"a.md": "dogs bark at night", "b.md": "cats sleep all day"}
     assert seen[1]["b.md"] == seen[0]["b.md"] and seen[1]["a.md"][1] == "dogs bark at cats" and set(seen[2]) == {"a.md", "c.md"}
     assert seen[2]["c.md"] == seen[1]["c.md"]
+
+
+def test_cells_bring_no_sample_to_the_driver_as_lists(spark, clustered, monkeypatch):
+    """A sample of 64 MB in four bytes a number took over 1.5 GB as rows of Python numbers."""
+    kind, sizes = type(clustered), []
+    plain = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: [sizes.append(len(out := plain(self))), out][1])
+    cells.fit_cells(clustered, 8, asked=20)
+    assert max(sizes) <= 20
+
+
+def test_cells_send_a_query_once_to_each_group(spark, clustered, monkeypatch):
+    found = cells.fit_cells(clustered, 8)
+    n = clustered.count()
+    met, kind = [], type(clustered.groupBy("id"))
+    plain = kind.cogroup
+    monkeypatch.setattr(kind, "cogroup", lambda self, other: [met.append(other._df.count()), plain(self, other)][1])
+    queries = clustered.select(F.col("id").alias("query_id"), "id", "vector")
+    every = cells.Cells(found.centres, len(found.centres), 1.0)
+    got = cells.search_cells(clustered, queries, every, 8, owner="id", slice_rows=n)
+    assert met == [n]  # all cells are one group
+    exact = knn.search_batch(clustered, queries, 8, owner="id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_cells_rank_copies_by_id(spark):
+    """Names as ids, many equal vectors, owners of several rows, groups of a few cells and cells in slices."""
+    rows = [(f"n{i:03d}", i % 7, [1.0, 0.0, 0.0] if i % 3 else [0.6, 0.8 * (-1) ** i, 0.0]) for i in range(240)] + [("zero", 1, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id string, o int, vector array<double>")
+    queries = v.select(F.col("id").alias("query_id"), F.col("o").cast("long").alias("o"), "vector")
+    every = cells.Cells(np.eye(3, dtype=np.float32), 3, 1.0)
+    for owner in (None, "o"):
+        exact = sorted(map(tuple, knn.search_batch(v, queries, 5, 0.5, owner=owner).collect()))
+        for slice_rows in (30, 300):
+            got = cells.search_cells(v, queries, every, 5, 0.5, owner=owner, slice_rows=slice_rows, block=50)
+            assert sorted(map(tuple, got.collect())) == exact
+
