@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,80 @@ def test_cells_rank_copies_by_id(spark):
             got = cells.search_cells(v, queries, every, 5, 0.5, owner=owner, slice_rows=slice_rows, block=50)
             assert sorted(map(tuple, got.collect())) == exact
 
+
+
+def _brute(rows, k, floor):
+    """By the definition: names in order, cosines at nine digits, the owner's own rows left out."""
+    x = np.array([v for *_, v in rows])
+    sims = np.round(np.clip(x @ x.T, 0, 1), 9)
+    want = {}
+    for i, (a, own, _) in enumerate(rows):
+        near = sorted((-sims[i, j], b) for j, (b, other, _) in enumerate(rows) if own is None or other != own)
+        want |= {(a, b, r): -s for r, (s, b) in enumerate(near[:k], 1) if -s >= floor}
+    return want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_search_all_is_exact(spark, kind):
+    """Copies beyond k, an owner with many rows, rows without an owner, zeros, long vectors; in one meeting and in many."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(500, 8))
+    x[100:180] = x[100]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[200:203] = 0
+    x[300:303] *= 1e6
+    x = x.astype(np.float32 if kind == "float" else np.float64).tolist()
+    rows = [((i // 3, i % 3), None if i % 50 == 7 else 1 if i > 400 else i // 3, v) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, f"id struct<a:long,b:int>, o long, vector array<{kind}>")
+    queries = v.select(F.col("id").alias("query_id"), "o", "vector")
+    for k, floor in ((3, 0.0), (20, 0.6)):
+        want = _brute(rows, k, floor)
+        for size, least in ((64 << 20, 10_000), (8 * 8 * 90, 50)):
+            got = {(tuple(r["query_id"]), tuple(r["id"]), r["rank"]): r["sim"] for r in knn.search_all(v, queries, k, floor, "o", size, least).collect()}
+            assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 2e-9 for e in want)
+
+
+def test_search_all_keeps_what_four_bytes_cannot_tell(spark):
+    """Cosines that differ in the eighth digit and later are ranked by eight bytes, tile after tile."""
+    turn = 0.5 + 2e-8 * np.random.default_rng(2).permutation(3000)
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    query = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<double>")
+    want = sorted((-round(float(np.cos(t)), 9), i) for i, t in enumerate(turn))[:9]
+    got = knn.search_all(v, query, 9).orderBy("rank").collect()
+    assert [(-r["sim"], r["id"]) for r in got] == want
+
+
+def test_search_all_of_nothing(spark, clustered):
+    queries = clustered.select(F.col("id").alias("query_id"), "id", "vector")
+    for rows, asked in ((clustered.limit(0), queries), (clustered, queries.limit(0))):
+        assert knn.search_all(rows, asked, 3, owner="id").count() == 0
+
+
+def test_subchunk_ties_go_by_number(spark):
+    """More copies than twice k: by the text of their names, chunk 10 came before chunk 2."""
+    subs = spark.createDataFrame([(c, o, [1.0, 0.0]) for c in range(1, 31) for o in (9, 10)], "chunk_id long, ord int, vector array<double>")
+    whole = spark.createDataFrame([(c, [0.0, 0.0]) for c in range(1, 31)], "id long, vector array<double>")
+    found = {(r["src"], r["dst"]) for r in edges.subchunk_edges(subs, whole, None, 3, 0.5).collect()}
+    assert found == {(c, d) for c in range(1, 31) for d in ([2, 3] if c == 1 else [1, 3] if c == 2 else [1, 2])}
+
+
+def test_subchunk_edges_are_exact_beyond_200_000_parts(spark):
+    """Beyond that size the lists came from cells and missed one row in twenty."""
+    x = np.random.default_rng(8).normal(size=(200_400, 12))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    flat = pa.array(x.ravel())
+    table = pa.table({"id": pa.array(np.arange(len(x))), "vector": pa.FixedSizeListArray.from_arrays(flat, x.shape[1]).cast(pa.list_(pa.float32()))})
+    subs = spark.createDataFrame(table).select(F.expr("id div 4").alias("chunk_id"), (F.col("id") % 4).cast("int").alias("ord"), "vector")
+    asked = range(0, 50_100, 501)
+    sources = spark.createDataFrame([(c,) for c in asked], "id long")
+    whole = subs.select(F.col("chunk_id").alias("id")).distinct().withColumn("vector", F.array(F.lit(0.0)))
+    found = {(r["src"], r["dst"]): r["weight"] for r in edges.subchunk_edges(subs, whole, sources, 8, 0.3).collect()}
+    want = {}
+    for c in asked:
+        for p in range(4 * c, 4 * c + 4):
+            s = np.round(np.clip(x.astype(np.float64) @ x[p].astype(np.float64), 0, 1), 9)
+            s[4 * c : 4 * c + 4] = -1
+            for i in np.lexsort((np.arange(len(s)), -s))[:8]:
+                want[c, i // 4] = max(s[i], want.get((c, i // 4), 0))
+    assert found.keys() == want.keys() and all(abs(found[e] - want[e]) < 2e-9 for e in want)
